@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm._shared import ready
+from colloquy.llm._shared import grams, mix, prefix, ready
 
 #: Labelled documents of each language that a model is fitted on, in expectation.
 SAMPLE = 1500
@@ -40,50 +40,78 @@ class LanguageModel:
 class Reader:
     """A model in use by one task, with the rows of words that it has met; these are forgotten beyond a bound."""
 
-    ROOM = 300_000
+    ROOM = 400_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
+        by_length: dict[int, list[tuple[str, int]]] = {n: [] for n in LENGTHS}
+        for gram, row in model.grams.items():
+            by_length[len(gram)].append((gram, row))
+        self.tables = {}
+        for n, pairs in by_length.items():
+            keys = grams(prefix(_points("".join(g for g, _ in pairs))), n)[::n]
+            order = np.argsort(keys)
+            self.tables[n] = keys[order], np.array([r for _, r in pairs], np.int64)[order]
         self.forget()
 
     def forget(self) -> None:
-        known = len(self.model.weights)
         self.at = dict(self.model.words)
         self.rows = np.concatenate([self.model.weights, np.zeros((self.ROOM, len(self.model.languages)), np.float32)])
-        self.free = known
-
-    def add(self, w: str) -> int:
-        """Backs off: at each position the longest n-gram known. A discount for each step back would be the same in every language, and is left out."""
-        s, grams, found = f" {w[:64]} ", self.model.grams, []
-        for i in range(len(s) - 1):
-            for n in range(LENGTHS[-1], 0, -1):
-                row = grams.get(s[i : i + n])
-                if row is not None:
-                    found.append(row)
-                    break
-        if found:
-            self.rows[self.free] = self.model.weights[found].sum(axis=0) * (2.0 / (len(s) - 1))
-        else:
-            self.rows[self.free] = 0
-        self.at[w] = self.free
-        self.free += 1
-        return self.free - 1
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = _WORD.findall(text.lower()) if text else []
-        if not found or (len(found) < 4 and not any(c.isalpha() for w in found for c in w)) or not self.model.languages:
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.model.languages))
-        for lo in range(0, len(found), self.ROOM // 2):
-            some = found[lo : lo + self.ROOM // 2]
-            if self.free + len(some) > len(self.rows):
+        self.free = len(self.model.weights)
+
+    def learn(self, new: list[str]) -> None:
+        """Backs off for unknown words: at each position the longest n-gram known counts. A discount for each step back would be the same in every language, and is left out."""
+        points = _points(" " + " ".join(w[:64] for w in new) + " ")
+        space = np.flatnonzero(points == _points(" ")[0])
+        place = np.arange(len(points) - 1)
+        left = np.repeat(space[1:], np.diff(space)) + 1 - place  # characters up to the space after the word
+        row, sums = np.full(len(place), -1, np.int64), prefix(points)
+        for n in sorted(LENGTHS, reverse=True):
+            keys, rows = self.tables[n]
+            todo = np.flatnonzero((row < 0) & (left >= n))
+            if len(keys) and len(todo):
+                h = grams(sums, n)[todo]
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[k] == h
+                row[todo[hit]] = rows[k[hit]]
+        got = np.where(row[:, None] >= 0, self.model.weights[row], 0)
+        got = np.add.reduceat(got, space[:-1]) * (2.0 / np.diff(space))[:, None]
+        self.rows[self.free : self.free + len(new)] = got
+        self.at.update(zip(new, range(self.free, self.free + len(new))))
+        self.free += len(new)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out = []
+        parts = [_WORD.findall(text.lower()) if text else [] for text in texts]
+        together = [w for found in parts for w in found]
+        if len(together) < self.ROOM // 2 and self.model.languages:
+            self.codes(together)
+        for found in parts:
+            if not found or (len(found) < 4 and not any(c.isalpha() for w in found for c in w)) or not self.model.languages:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = np.zeros(len(self.model.languages))
+            for lo in range(0, len(found), self.ROOM // 2):
+                total += self.rows[self.codes(found[lo : lo + self.ROOM // 2])].sum(axis=0, dtype=np.float64)
+            total = (total - total.max()) / np.sqrt(len(found))
+            p = np.exp(total)
+            best = int(np.argmax(p))
+            out.append((self.model.languages[best], float(p[best] / p.sum())))
+        return out
+
+    def codes(self, found: list[str]) -> list[int]:
+        new = list({w for w in found if w not in self.at})
+        if new:
+            if self.free + len(new) > len(self.rows):
                 self.forget()
-            at, add = self.at, self.add
-            total += self.rows[[at[w] if w in at else add(w) for w in some]].sum(axis=0, dtype=np.float64)
-        total = (total - total.max()) / np.sqrt(len(found))
-        p = np.exp(total)
-        best = int(np.argmax(p))
-        return self.model.languages[best], float(p[best] / p.sum())
+                new = list({w for w in found if w not in self.at})
+            self.learn(new)
+        at = self.at
+        return [at[w] for w in found]
+
+
+def _points(s: str) -> np.ndarray:
+    return mix(np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64))
 
 
 def _counted(batches):
@@ -93,11 +121,11 @@ def _counted(batches):
     for batch in batches:
         counts: dict[tuple[int, str], Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by_word = Counter(_WORD.findall(text.lower()))
-            counts.setdefault((0, lang), Counter()).update(by_word)
+            counts.setdefault((0, lang), Counter()).update(_WORD.findall(text.lower()))
+        for _, lang in list(counts):
             for n in LENGTHS:
-                to = counts.setdefault((n, lang), Counter())
-                for w, k in by_word.items():
+                to = counts[n, lang] = Counter()
+                for w, k in counts[0, lang].items():
                     s = f" {w[:64]} "
                     for i in range(len(s) - n + 1):
                         to[s[i : i + n]] += k
@@ -147,7 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def run(batches):
         own = Reader(shared.value)
         for batch in batches:
-            out = [own.predict(t.as_py()) for t in batch.column(at)]
+            out = [x for lo in range(0, batch.num_rows, 200) for x in own.predict(batch.column(at).slice(lo, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
