@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm.decontaminate import op3_decontaminate
 from colloquy.llm.fingerprints import op9_fingerprints
+from colloquy.llm.html_text import op6_html_text
 from colloquy.llm.language_id import op4_language_id
+from colloquy.llm.near_dedup import op1_near_dedup
+from colloquy.llm.secrets import op10_secret_scan
+from colloquy.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_language_id": op4_language_id, "op9_fingerprints": op9_fingerprints}
+    return {f.__name__: f for f in (op1_near_dedup, op3_decontaminate, op4_language_id, op6_html_text, op7_toxicity, op9_fingerprints, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
