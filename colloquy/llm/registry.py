@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from colloquy.llm.decontaminate import op3_decontaminate
 from colloquy.llm.fingerprints import op9_fingerprints
 from colloquy.llm.html_text import op6_html_text
@@ -19,7 +20,7 @@ from colloquy.llm.toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_decontaminate, op4_language_id, op5_suffix_dedup, op6_html_text, op7_toxicity, op8_sentencepiece, op9_fingerprints, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_substring_dedup, op3_decontaminate, op4_language_id, op5_suffix_dedup, op6_html_text, op7_toxicity, op8_sentencepiece, op9_fingerprints, op10_secret_scan)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
