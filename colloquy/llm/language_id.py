@@ -139,6 +139,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Each language keeps its rows by a hash of their id, sample of them in expectation: memory and time
     do not depend on the table's size.
     """
+    ready(labelled.sparkSession)
     labelled = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = labelled.groupBy(lang_col).count().collect()
     if not rows:
