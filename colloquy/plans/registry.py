@@ -204,7 +204,7 @@ query("pii_flags")(lambda s, d: profile.pii_counts(documents(s, d)))
 query("phone_candidates")(lambda s, d: profile.phone_rows(documents(s, d), "doc_id"))
 for _p in ("profile", "segmentation", "singles", "roles", "reconstruction"):
     query(f"redacted_text_{_p}")(lambda s, d, p=_p: documents(s, d).select("doc_id", tx.redact(F.col("text"), p).alias("text")))
-query("question_markers", "SELECT conv_id, turn, list_filter(['?', '？', '請問', '是否', '哪個', '哪一個', '什麼', '多少', '可以提供', '麻煩提供', '能否提供', '方便提供', '有沒有', '是否可以'], x -> contains(text, x)) <> [] AS question_like FROM conversations")(
+query("question_markers", "SELECT conv_id, turn, list_filter(['?', '？', '請問', '是否', '哪個', '哪一個', '什麼', '多少', '可以提供', '麻煩提供', '能否提供', '方便提供', '有沒有', '是否可以'], lambda x: contains(text, x)) <> [] AS question_like FROM conversations")(
     lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", (F.size(tx.question_hits(F.col("text"))) > 0).alias("question_like"))
 )
 query("sender_aliases", M + "SELECT sender, 'Sender ' || lpad(CAST(row_number() OVER (ORDER BY sender) AS VARCHAR), 2, '0') AS alias FROM (SELECT DISTINCT sender FROM n)")(lambda s, d: m(s, d).agg(tx.aliases(F.collect_set("sender")).alias("a")).select(F.explode("a").alias("a")).select("a.sender", "a.alias"))
