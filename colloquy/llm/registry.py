@@ -12,6 +12,7 @@ from colloquy.llm.fingerprints import op9_fingerprints
 from colloquy.llm.html_text import op6_html_text
 from colloquy.llm.language_id import op4_language_id
 from colloquy.llm.near_dedup import op1_near_dedup
+from colloquy.llm.oracles import SQL
 from colloquy.llm.secrets import op10_secret_scan
 from colloquy.llm.sentencepiece import op8_sentencepiece
 from colloquy.llm.substring_dedup import op2_substring_dedup
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
