@@ -7,8 +7,9 @@ each step whether the reader moves on, so strings a few edits apart meet again a
 walks' places. Tables of sampled places from several walks make window and item candidates if one table
 agrees; a bit-parallel search then gives the exact edit distance.
 
-At 10 % of random edits about half of a walk's places agree: with TABLES tables of PLACES places the
-chance to miss is (1 - 0.5**3)**64, or 0.02 %.
+Measured on 200 items with random edits of characters: at 10 % edits 0.47 of a walk's places agree on average
+(0.37 for the tenth worst), at 13 % 0.42. Tables on one walk are not independent, so no formula is given: with 8
+walks and 64 tables 194 of 196 and 178 of 182 copies within RATE met in a table, with 24 and 192 all did.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, grams, mix, pie
 #: Edits for each byte of an item up to which a window counts as a copy.
 RATE = 0.15
 SEED, HITS = 12, 4
-WALKS, TABLES, PLACES = 8, 64, 3
+WALKS, TABLES, PLACES = 24, 192, 3
 #: Shorter items (in normal form) are found by exact search.
 SHORT = 40
 #: Items that are broadcast at once; a longer benchmark is read in blocks of so many.
