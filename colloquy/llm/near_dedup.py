@@ -7,9 +7,10 @@ one in an order that is the same for all documents, so that a register agrees as
 Copies with equal sets are one class, represented by its smallest id. Classes that agree on a band of ROWS
 registers are candidates. A bucket of many classes does not make all pairs: each member is compared with
 three members first, and once the confirmed links are known, only members of different components are
-compared. No link between components can be lost that way, and links inside one change nothing. The
-estimate on a sketch of registers, corrected for chance collisions, drops hopeless pairs; the rest are
-confirmed on full sets.
+compared. No link between components can be lost that way, and links inside one change nothing. Shingles
+that no other doubtful member has bound what two sets can share, so many edited copies of one text do not
+make all their pairs. The estimate on a sketch of registers, corrected for chance collisions, drops hopeless
+pairs; the rest are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, checkpoint, components, expand, grams, mix, pieces, prefix, ready, release, spans, squeeze, table, words
+from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, by_key, checkpoint, components, expand, grams, mix, partitions, pieces, prefix, ready, release, spans, squeeze, table, words
+from colloquy.llm.repeats import SENT, answers, distinct, sends, told
 
 WORDS, PERCENT = 5, 75
 REGISTERS, ROWS = 160, 4
@@ -122,9 +124,9 @@ def _hopeful(left: str, right: str) -> Column:
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((F.least(n_a, n_b) < LEAST) | (guess >= PERCENT / 100 - SLACK))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs (a, b) of representatives whose sets overlap by PERCENT; compressed texts travel, sets are rebuilt."""
-    asked = checkpoint(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "digest"), "rep"))
+def texts_of(reps: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rep, z): the compressed text of each representative. The digest tells rows apart that share an id; equal sets are one text here."""
+    asked = checkpoint(reps.select("rep").distinct().join(classes.select("rep", "digest"), "rep"))
 
     def small(batches):
         for batch in batches:
@@ -133,21 +135,26 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
                 sets = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([squeeze(data[off[k] : off[k + 1]]) for k in range(i, j)], pa.binary())], ["rep", "digest", "z"])
 
-    # the digest tells rows apart that share an id; equal sets are one text here
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    found = checkpoint(texts.mapInArrow(small, "rep long, digest binary, z binary").join(asked, ["rep", "digest"], "left_semi").dropDuplicates(["rep"]))
+    found = texts.mapInArrow(small, "rep long, digest binary, z binary").join(asked, ["rep", "digest"], "left_semi")
+    return checkpoint(found.dropDuplicates(["rep"]).select("rep", "z"))
 
-    def run(batches):
-        def sets(column):
-            raw = [expand(z).tobytes() for z in column.to_pylist()]
-            off = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
-            return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), off)
 
+def _sets(column) -> list[np.ndarray]:
+    raw = [expand(z).tobytes() for z in column.to_pylist()]
+    off = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
+    return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), off)
+
+
+def confirm(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of representatives whose sets overlap by PERCENT; compressed texts travel, sets are rebuilt."""
+
+    def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 some = batch.slice(lo, 128)
                 keep = []
-                for x, y in zip(sets(some.column(2)), sets(some.column(3))):
+                for x, y in zip(_sets(some.column(2)), _sets(some.column(3))):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"]).filter(pa.array(keep))
@@ -157,6 +164,32 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
     return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
 
 
+def lone_shingles(found: DataFrame) -> DataFrame:
+    """(rep, alone): how many shingles of each representative no other one of found has.
+
+    Blocks of representatives send their distinct hashes and are told which occur twice (see `repeats`).
+    """
+    n_blocks = 4 * partitions(found.sparkSession)
+    rows = found.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int"))
+
+    def pooled(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        sets = _sets(t.sort_by("rep")["z"])
+        owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        return sets, *distinct(np.concatenate(sets), owners)
+
+    def send(key: tuple, t: pa.Table) -> pa.Table:
+        _, values, many = pooled(t)
+        return sends(key[0].as_py(), values, many, n_blocks)
+
+    def count(key: tuple, t: pa.Table, replies: pa.Table) -> pa.Table:
+        sets, values, _ = pooled(t)
+        shared = told(replies, 0, values, n_blocks)
+        return pa.table([t.sort_by("rep")["rep"], pa.array([int((~shared[np.searchsorted(values, s)]).sum()) for s in sets], pa.int64())], ["rep", "alone"])
+
+    sent = rows.groupBy("block").applyInArrow(send, SENT)
+    return checkpoint(by_key(rows, answers(sent, 0), "block", count, "rep long, alone long"))
+
+
 def _long(registers: Column, at: int) -> Column:
     return F.conv(F.hex(F.substring(registers, 1 + 8 * at, 8)), 16, -10).cast("long")
 
@@ -182,20 +215,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     star = members.select("rep", F.explode(F.array_distinct(F.array("c0", "c1", "c2"))).alias("c")).where("rep <> c").select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
     star = checkpoint(star.join(brief.alias("l"), F.col("a") == F.col("l.rep")).join(brief.alias("r"), F.col("b") == F.col("r.rep")).where(_hopeful("l", "r")).select("a", "b"))
     release(spark)
-    links = confirm(star, docs, classes, id_col, text_col)
+    ends = lambda pairs: pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
+    links = confirm(star, texts_of(ends(star), docs, classes, id_col, text_col))
     known = components(links)
     release(spark)
 
     part = brief.join(known, brief["rep"] == known["node"], "left").select(brief["*"], F.coalesce("component", "rep").alias("component"))
-    placed = members.select("key", "rep").join(part, "rep")
-    counts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    mixed_keys = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1").select("key", "main")
-    rest = checkpoint(placed.join(mixed_keys, "key"))
-    far = rest.where("component <> main").alias("l").join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & _hopeful("l", "r"))
+    placed = checkpoint(members.select("key", "rep").join(part, "rep"))
+
+    def mixed_buckets(rows: DataFrame) -> DataFrame:
+        """rows of buckets with several components, and each bucket's largest."""
+        counts = rows.groupBy("key", "component").agg(F.count("*").alias("m"))
+        return rows.join(counts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1").select("key", "main"), "key")
+
+    # what no other member of such buckets has cannot overlap: it bounds every overlap from above
+    doubtful = mixed_buckets(placed).select("rep").distinct()
+    found = texts_of(doubtful, docs, classes, id_col, text_col)
+    release(spark)
+    rest = placed.join(lone_shingles(found), "rep").where(100 * F.col("alone") <= (100 - PERCENT) * F.col("n"))
+    rest = checkpoint(mixed_buckets(rest))
+    room = F.least(F.col("l.n") - F.col("l.alone"), F.col("r.n") - F.col("r.alone"))
+    possible = (100 + PERCENT) * room >= PERCENT * (F.col("l.n") + F.col("r.n"))
+    far = rest.where("component <> main").alias("l").join(rest.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & possible & _hopeful("l", "r"))
     cross = checkpoint(far.select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
     release(spark)
     if not cross.isEmpty():
-        more = confirm(cross, docs, classes, id_col, text_col)
+        more = confirm(cross, found)
         if not more.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("digest", "rep").join(known, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

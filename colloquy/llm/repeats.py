@@ -9,7 +9,6 @@ third of all documents hold is one value in each block, so no task sees more of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +53,8 @@ def distinct(hashes: np.ndarray, owners: np.ndarray | None = None) -> tuple[np.n
     return h[at], many
 
 
-def sends(block: int, values: np.ndarray, many: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def sends(block: int, values: np.ndarray, many: np.ndarray, parts: int) -> pa.Table:
+    """Rows of SENT: a block's sorted hashes, cut into ranges; many marks those that occur twice in the block itself."""
     cut = ranges_of(values, parts)
     rows = [(k, block, values[a:b].tobytes(), np.packbits(many[a:b]).tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
     cols = list(zip(*rows)) if rows else [[]] * 4
