@@ -16,33 +16,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import BYTE_VALUES, NO_ID, U, by_key, blocks_for, checkpoint, expand, packed, prefix, ranges_of, ready, release, spans, squeeze, table, unpacked
+from colloquy.llm._shared import BYTE_VALUES, NO_ID, U, by_key, blocks_for, checkpoint, expand, packed, pieces, prefix, ranges_of, ready, release, spans, squeeze, table, unpacked
 from colloquy.llm.repeats import ANSWER, SENT, answers, covered, distinct, member, seeds, sends, told
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text in a block, of text for each range of hashes, and of fragments in one transform.
-BLOCK, PART, INDEX = 2 << 20, 8 << 20, 2 << 20
+BLOCK, PART, INDEX = 3 << 19, 4 << 20, 1 << 19
 _FRAGMENTS = "part int, block int, seeds binary, ids binary, sizes binary, texts binary"
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary"
 
 
-def suffix_order(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """The order of all suffixes; each ends at its stop (where text is 0), and equal ones keep the order of places."""
+def suffix_order(text: np.ndarray, stop: np.ndarray, length: int) -> np.ndarray:
+    """Places in the order of their suffixes, by length characters at least; a suffix ends at its stop, where text is 0."""
     n, depth = len(text), 7
-    rank = np.zeros(n + depth, np.int64)
+    rank = np.zeros(n, np.int64)
     wide = np.concatenate([text.astype(np.int64), np.zeros(depth, np.int64)])
     left = stop - np.arange(n)
     for k in range(depth):
-        rank[:n] = rank[:n] << 9 | np.where(left > k, wide[k : n + k], 0)
-    rank = rank[:n]
-    longest = int(left.max(initial=0)) + 1
+        rank = rank << 9 | np.where(left > k, wide[k : n + k], 0)
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
+        if depth >= length:
+            return order
         s = rank[order]
         fresh = np.empty(n, np.int64)
         fresh[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
-        if depth >= longest or (n and fresh.max() == n - 1):
-            return order
         more = np.zeros(n, np.int64)
         more[: n - depth] = fresh[depth:] + 1
         rank = fresh * (n + 1) + np.where(left > depth, more, 0)
@@ -52,37 +50,41 @@ def suffix_order(text: np.ndarray, stop: np.ndarray) -> np.ndarray:
 def intervals(text: np.ndarray, stop: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, interval) of the places where a string of length begins that begins in another place too.
 
-    text holds strings, each with a 0 at its end. The steps of backward extension are those of the transform:
-    the places that precede the members of an interval by one letter are an interval of the next length.
+    text holds strings, each with a 0 at its end, which stop gives for each place. A step of backward extension
+    takes the members of an interval to the places one letter before: those with one letter are an interval of
+    the next length. A place with too little of its string before it to reach length is left out from the start.
     """
-    if not len(text):
+    n = len(text)
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = suffix_order(text, stop)
-    before = text[order - 1]
-    before[order == 0] = 0
-    # where a row's suffix goes with the letter before it: rows with this letter, in the same order
-    back = np.empty(len(text), np.int64)
-    back[np.argsort(before, kind="stable")] = np.arange(len(text))
-    head = text[order]
-    rows = np.flatnonzero(head > 0)
-    h = head[rows]
-    new = np.r_[True, h[1:] != h[:-1]] if len(rows) else np.zeros(0, bool)
+    order = suffix_order(text, stop, length)
+    row_of = np.empty(n, np.int32)
+    row_of[order] = np.arange(n, dtype=np.int32)
+    place = np.arange(n)
+    begin = np.r_[0, np.flatnonzero(text == 0) + 1][np.searchsorted(np.flatnonzero(text == 0), place)]
+    some = place[(text > 0) & (place - begin >= length - 1)]
+    at = np.sort(row_of[some])
+    places = order[at].astype(np.int32)
+    letters = text[places]
+    new = np.r_[True, letters[1:] != letters[:-1]] if len(at) else np.zeros(0, bool)
+    label = np.full(n, -1, np.int32)
     for size in range(1, length + 1):
         first = np.flatnonzero(new)
-        count = np.diff(np.r_[first, len(rows)])
-        rows = rows[np.repeat(count > 1, count)]
+        count = np.diff(np.r_[first, len(places)])
+        places = places[np.repeat(count > 1, count)]
         count = count[count > 1]
-        if not len(rows):
+        if not len(places):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        interval = np.repeat(np.arange(len(count)), count)
+        interval = np.repeat(np.arange(len(count), dtype=np.int32), count)
         if size == length:
-            return order[rows], interval
-        some = before[rows] > 0
-        to, interval = back[rows[some]], interval[some]
-        turn = np.argsort(to, kind="stable")
-        rows, interval = to[turn], interval[turn]
-        letter = head[rows]
-        new = np.r_[True, (interval[1:] != interval[:-1]) | (letter[1:] != letter[:-1])] if len(rows) else np.zeros(0, bool)
+            return places.astype(np.int64), interval
+        to = row_of[places - 1]
+        label[to] = interval
+        at = np.sort(to)
+        interval = label[at]
+        places = order[at].astype(np.int32)
+        letters = text[places]
+        new = np.r_[True, (interval[1:] != interval[:-1]) | (letters[1:] != letters[:-1])]
 
 
 class _Block:
@@ -127,7 +129,10 @@ def _decide(seed: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarr
     """For each fragment, a bit for each of its windows: a smaller id has it."""
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    text = spans(prefix(BYTE_VALUES[data]), starts, ends)
+    text = np.empty(len(sizes), np.uint64)
+    for i, j in pieces(np.r_[0, ends], INDEX):
+        at = starts[i]
+        text[i:j] = spans(prefix(BYTE_VALUES[data[at : ends[j - 1]]]), starts[i:j] - at, ends[i:j] - at)
     order = np.lexsort((ids, text, seed))
     s, t = seed[order], text[order]
     new = np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])]
@@ -152,33 +157,29 @@ def _decide(seed: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarr
         if total[e - 1] - lo > INDEX:
             cut.append(int(e))
             lo = total[e - 1]
-    low_of: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    by_kind = np.argsort(kind, kind="stable")
+    kinds = kind[by_kind]
     for a, b in zip(cut, [*cut[1:], len(ask)]):
         some = rep[ask[a:b]]
         size = sizes[some] + 1
+        base = np.cumsum(size) - size
         joined = np.zeros(size.sum(), np.int32)
-        at = np.repeat(np.cumsum(size) - size, sizes[some]) + (np.arange(sizes[some].sum()) - np.repeat(np.cumsum(sizes[some]) - sizes[some], sizes[some]))
+        at = np.repeat(base - (np.cumsum(sizes[some]) - sizes[some]), sizes[some]) + np.arange(sizes[some].sum())
         joined[at] = _joined(data, starts[some], ends[some]).astype(np.int32) + 1
-        stop = np.repeat(np.cumsum(size) - 1, size)
-        place, interval = intervals(joined, stop, window)
+        place, interval = intervals(joined, np.repeat(base + size - 1, size), window)
         if not len(place):
             continue
-        which = np.searchsorted(np.cumsum(size), place, "right")
-        owner = ids[some][which]
+        which = np.searchsorted(base + size, place, "right")
         first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
-        least = np.minimum.reduceat(owner, first)[interval]
-        low_of.append((ask[a:b][which], place - (np.cumsum(size) - size)[which], least))
-    if low_of:
-        entry, window_at, least = (np.concatenate(x) for x in zip(*low_of))
+        least = np.minimum.reduceat(ids[some][which], first)[interval]
+        bit = U(1) << (place - base[which]).astype(np.uint64)
         # each fragment of these contents compares by its own id
-        by = np.argsort(entry, kind="stable")
-        entry, window_at, least = entry[by], window_at[by], least[by]
-        lo, hi = np.searchsorted(entry, kind, "left"), np.searchsorted(entry, kind, "right")
+        entry = ask[a:b][which]
+        lo, hi = np.searchsorted(kinds, entry, "left"), np.searchsorted(kinds, entry, "right")
         many = hi - lo
-        frag = np.repeat(np.arange(len(kind)), many)
-        pick = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        hit = least[pick] < ids[frag]
-        np.bitwise_or.at(out, frag[hit], U(1) << window_at[pick[hit]].astype(np.uint64))
+        frag = by_kind[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        hit = np.repeat(least, many) < ids[frag]
+        np.bitwise_or.at(out, frag[hit], np.repeat(bit, many)[hit])
     return out
 
 
