@@ -1,15 +1,13 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH, exact edit distance.
+"""Benchmark decontamination: grams that a copy must keep, counted by shift; exact edit distance.
 
 Texts are compared as lower-cased bytes in which every run of other than letters, digits and non-ASCII
-bytes is one space. Windows as long as an item are taken where a document shares several grams of SEED
-bytes with it, at about one offset. A random walk (CGK) reads item and window: shared random bits decide at
-each step whether the reader moves on, so strings a few edits apart meet again and differ in few of the
-walks' places. Tables of sampled places from several walks make window and item candidates if one table
-agrees; a bit-parallel search then gives the exact edit distance.
-
-Measured on 200 items with random edits of characters: at 10 % edits 0.47 of a walk's places agree on average
-(0.37 for the tenth worst), at 13 % 0.42. Tables on one walk are not independent, so no formula is given: with 8
-walks and 64 tables 194 of 196 and 178 of 182 copies within RATE met in a table, with 24 and 192 all did.
+bytes is one space. An edit changes q grams of q bytes at most, so a copy within RATE keeps a number of them
+that is known (the q-gram lemma), at shifts that differ by the number of edits at most. Every place that has
+so many is searched, bit-parallel, for the exact edit distance: no copy within RATE is lost, however its
+edits lie and whatever repeats beside it.
+
+Tables of CGK walks chose among windows before. They are gone, as they could only lose copies that the
+count, which loses none, has found.
 """
 
 from __future__ import annotations
@@ -22,18 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, grams, mix, pieces, prefix, ready, table
+from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, grams, pieces, prefix, ready, table
 
 #: Edits for each byte of an item up to which a window counts as a copy.
 RATE = 0.15
-SEED, HITS = 12, 4
-WALKS, TABLES, PLACES = 24, 192, 3
-#: Shorter items (in normal form) are found by exact search.
+#: Lengths of seeds, and how many of them an item should keep after so many edits for its seeds to be that long.
+SEEDS, LEAST = (3, 4, 5, 6), 24
+SLOTS, STRETCH = 1 << 19, 1 << 17
+#: Shorter items (in normal form) are compared with the spaces around them, so that they match whole words.
 SHORT = 40
 #: Items that are broadcast at once; a longer benchmark is read in blocks of so many.
 ITEMS = 20_000
-_BITS = np.random.default_rng(3).integers(0, 2, (WALKS, 1 << 12, 256), dtype=np.uint8)
-_PLACES = np.random.default_rng(4).random((TABLES, PLACES))
 _NORMAL = LOWER.copy()
 _NORMAL[[i for i in range(128) if not chr(i).isalnum()]] = 32
 
@@ -50,29 +47,6 @@ def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[at], np.searchsorted(at, offsets), at
 
 
-def walk(strings: list[np.ndarray], length: int) -> np.ndarray:
-    """(strings, WALKS, length): the bytes that each walk reads; 0 after the end of a string."""
-    n, m = len(strings), max(len(s) for s in strings)
-    text = np.zeros((n, m + 1), np.uint8)
-    for i, s in enumerate(strings):
-        text[i, : len(s)] = s
-    at, rows = np.zeros((n, WALKS), np.int64), np.arange(n)[:, None]
-    out = np.zeros((n, WALKS, length), np.uint8)
-    walks = np.arange(WALKS)[None, :]
-    for j in range(length):
-        c = text[rows, at]
-        out[:, :, j] = c
-        at = np.minimum(at + _BITS[walks, j & 4095, c], m)
-    return out
-
-
-def samples(walked: np.ndarray, size: int) -> np.ndarray:
-    """(strings, TABLES) hashes of the places that each table samples from its walk of an item of size bytes."""
-    place = (_PLACES * 2 * size).astype(np.int64)
-    got = walked[:, (np.arange(TABLES) % WALKS)[:, None], place].astype(np.uint64)
-    return mix(got[:, :, 0] << U(16) | got[:, :, 1] << U(8) | got[:, :, 2])
-
-
 def edit_search(item: bytes, text: bytes) -> tuple[int, int]:
     """The least edit distance of item to any part of text, and where the first such part ends (Myers)."""
     m = len(item)
@@ -97,6 +71,22 @@ def edit_search(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+def copies(item: bytes, text: bytes, limit: int, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, distance) of disjoint parts of text[lo:hi] within limit edits of item, the nearest one first."""
+    todo = [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < len(item) - limit:
+            continue
+        distance, end = edit_search(item, text[lo:hi])
+        if distance > limit or not end:
+            continue
+        _, back = edit_search(item[::-1], text[lo : lo + end][::-1])
+        start, end = lo + end - back, lo + end
+        yield start, end, distance
+        todo += [(lo, start), (end, hi)]
+
+
 class Items:
     """A block of benchmark items, ready to be looked for."""
 
@@ -106,71 +96,119 @@ class Items:
         data, off, _ = normal(np.frombuffer(b"".join(raw), np.uint8), off)
         forms = [data[off[i] : off[i + 1]].tobytes().rstrip() for i in range(len(items))]
         self.ids = [i for i, _ in items]
-        self.forms = forms
-        self.short = [i for i, s in enumerate(forms) if 0 < len(s) < SHORT]
-        long = [i for i, s in enumerate(forms) if len(s) >= SHORT]
-        parts = [grams(prefix(BYTE_VALUES[np.frombuffer(forms[i], np.uint8)]), SEED) for i in long]
-        keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.item = np.repeat(np.array(long, np.int64), [len(p) for p in parts])[order]
-        self.offset = np.concatenate([np.arange(len(p)) for p in parts])[order] if parts else keys
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.keys >> U(42)).astype(np.int64)] = True
-        self.tables: dict[int, np.ndarray] = {}
-
-    def table(self, i: int) -> np.ndarray:
-        if i not in self.tables:
-            form = np.frombuffer(self.forms[i], np.uint8)
-            self.tables[i] = samples(walk([form], 2 * len(form)), len(form))[0]
-        return self.tables[i]
+        self.limit = np.array([int(RATE * len(s)) for s in forms], np.int64)
+        self.forms = [b" " + s + b" " if 0 < len(s) < SHORT else s for s in forms]
+        total = sum(map(len, self.forms))
+        # so many bytes of text at once that seeds make a bounded number of hits
+        self.stretch = max(1 << 12, STRETCH * 40_000 // max(total, 40_000))
+        self.lap = max((2 * len(f) + 4 for f in self.forms), default=0)
+        self.seeds = []
+        for q in sorted(SEEDS, reverse=True):
+            own = np.array([i for i, s in enumerate(self.forms) if s and self.gram(i) == q], np.int64)
+            if len(own):
+                keys = np.concatenate([self.slots(np.frombuffer(self.forms[i], np.uint8), q) for i in own])
+                size = np.array([len(self.forms[i]) for i in own])
+                order = np.argsort(keys, kind="stable")
+                start = np.zeros(SLOTS + 1, np.int32)
+                np.cumsum(np.bincount(keys, minlength=SLOTS), out=start[1:])
+                item = np.repeat(np.arange(len(own)), size - q + 1)[order]
+                offset = np.concatenate([np.arange(n - q + 1) for n in size])[order]
+                width = self.limit[own] + 2  # one more than limits need, for rounding
+                first = np.r_[0, np.cumsum((self.stretch + 2 * self.lap + size) // width + 3)]  # an empty bucket at each end
+                inverse = (1 / width)[item].astype(np.float32)
+                self.seeds.append((q, own, start, offset, (first[:-1][item] + 1).astype(np.int32), inverse, ((size[item] - offset) / width[item]).astype(np.float32), width, size, first))
+
+    def least(self, i: int, q: int) -> int:
+        """Grams of q bytes that an item keeps after limit edits, as an edit changes q of them at most."""
+        return len(self.forms[i]) - q + 1 - int(self.limit[i]) * q
+
+    def gram(self, i: int) -> int:
+        """The longest gram of which an item keeps several, or else some."""
+        return next((q for enough in (LEAST, 1) for q in sorted(SEEDS, reverse=True) if self.least(i, q) >= enough))
+
+    @staticmethod
+    def slots(text: np.ndarray, q: int) -> np.ndarray:
+        """A slot for each gram; grams that share a slot can only add windows."""
+        return (grams(prefix(BYTE_VALUES[text]), q) >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def windows(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end): parts of text that keep enough grams of an item at offsets that limit edits allow.
+
+        The grams that a copy keeps lie at shifts that differ by limit at most, so in two neighbouring
+        buckets; the counts of the two are added. Neighbouring windows come as one. A gram
+        that repeats counts only as often as text and item both have it there.
+        """
+        for q, own, start, offset, base, inverse, ahead, width, size, first in self.seeds:
+            h = self.slots(text, q)
+            low = start[h]
+            many = start[h + 1] - low
+            total = int(many.sum())
+            if not total:
+                continue
+            low -= np.cumsum(many, dtype=np.int32) - many
+            hit = np.repeat(low, many)
+            hit += np.arange(total, dtype=np.int32)
+            place = np.repeat(np.arange(len(h), dtype=np.float32), many)
+            key = inverse[hit]
+            key *= place
+            key += ahead[hit]
+            key = key.astype(np.int32)
+            key += base[hit]
+            count = np.bincount(key, minlength=first[-1] + 1)
+            least = np.array([self.least(i, q) for i in own])
+            pair = np.flatnonzero(count[:-1] + count[1:] >= np.repeat(least, np.diff(first)))
+            if not len(pair):
+                continue
+            # of grams that repeat, only so many count as can be matched one to one
+            marked = np.zeros(first[-1] + 1, bool)
+            marked[pair] = marked[pair + 1] = True
+            some = np.flatnonzero(marked[key])
+            key, place, where = key[some].astype(np.int64), place[some].astype(np.int64), offset[hit[some]]
+            key = np.r_[key, key - 1]  # in the pair that a bucket begins, and in the one that it ends
+            kept = np.minimum(*[np.bincount(np.unique(key << 32 | np.r_[x, x]) >> 32, minlength=first[-1] + 1)[pair] for x in (place, where)])
+            which = np.searchsorted(first, pair, "right") - 1
+            full = kept >= least[which]
+            pair, which = pair[full], which[full]
+            if not len(pair):
+                continue
+            new = np.flatnonzero(np.r_[True, (np.diff(pair) > 1) | (np.diff(which) > 0)])
+            for a, z in zip(new, np.r_[new[1:], len(pair)] - 1):
+                k = which[a]
+                w, n = int(width[k]), int(size[k])
+                lo, hi = (int(pair[x] - first[k]) - 1 + y for x, y in ((a, 0), (z, 2)))
+                yield int(own[k]), max(0, lo * w - n - w), min(len(text), hi * w + 2 * w)
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, start, end, distance) of each copy; start and end are bytes of the row's text."""
+        """(row, item, start, end, distance) of each copy; start and end are bytes of the row's text.
+
+        Texts are read in stretches of STRETCH bytes that overlap by more than any copy is long.
+        """
         text, off, at = normal(data, offsets)
-        if self.short:
-            for row in range(len(off) - 1):
-                padded = b" " + text[off[row] : off[row + 1]].tobytes() + b" "
-                for i in self.short:
-                    k = padded.find(b" " + self.forms[i] + b" ")
-                    if k >= 0:
-                        a = at[off[row] + k]
-                        b = at[off[row] + k + len(self.forms[i]) - 1] + 1
-                        yield row, i, int(a - offsets[row]), int(b - offsets[row]), 0
-        h = grams(prefix(BYTE_VALUES[text]), SEED)
-        pos = np.flatnonzero(self.maybe[(h >> U(42)).astype(np.int64)])
-        if not len(pos) or not len(self.keys):
-            return
-        row = np.searchsorted(off, pos, "right") - 1
-        inside = pos + SEED <= off[row + 1]
-        pos, row = pos[inside], row[inside]
-        low, high = (np.searchsorted(self.keys, h[pos], side) for side in ("left", "right"))
-        many = high - low
-        hit = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pos, row, item = np.repeat(pos, many), np.repeat(row, many), self.item[hit]
-        shift = pos - self.offset[hit]
-        order = np.lexsort((shift, item, row))
-        row, item, shift = row[order], item[order], shift[order]
-        size = np.array([len(f) for f in self.forms])
-        new = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(shift) > RATE * size[item[1:]])] if len(row) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        count = np.diff(np.r_[first, len(row)])
-        ahead = [(int(row[a]), int(item[a]), int(shift[a + n // 2])) for a, n in zip(first, count) if n >= HITS]
-        for lo in range(0, len(ahead), 64):
-            some = ahead[lo : lo + 64]
-            windows = [text[max(s, off[r]) : min(s + len(self.forms[i]), off[r + 1])] for r, i, s in some]
-            walked = walk(windows, 2 * max(len(self.forms[i]) for _, i, _ in some))
-            for k, (r, i, s) in enumerate(some):
-                form = self.forms[i]
-                if not (samples(walked[k : k + 1], len(form))[0] == self.table(i)).any():
-                    continue
-                slack = int(RATE * len(form)) + 1
-                a, b = max(int(off[r]), s - slack), min(int(off[r + 1]), s + len(form) + 2 * slack)
-                distance, end = edit_search(form, text[a:b].tobytes())
-                if distance <= RATE * len(form) and end:
-                    back, start = edit_search(form[::-1], text[a : a + end].tobytes()[::-1])
-                    begin = a + end - start if back <= distance else a
-                    yield r, i, int(at[begin] - offsets[r]), int(at[a + end - 1] + 1 - offsets[r]), distance
+        # a space before and after each row
+        text = np.insert(text, np.r_[off[:-1], off[1:]], 32) if len(off) > 1 else text
+        pad = np.arange(len(off) - 1)
+        at = np.insert(at, np.r_[off[:-1], off[1:]], 0) if len(off) > 1 else at
+        begins, ends = off[:-1] + 2 * pad, off[1:] + 2 * pad + 2
+        whole = text.tobytes()
+        found, lo, n = [], 0, len(text)
+        while lo < n:
+            hi = min(n, lo + self.stretch + 2 * self.lap)
+            found += [(i, lo + a, lo + b) for i, a, b in self.windows(text[lo:hi])]
+            lo = hi - 2 * self.lap if hi < n else n
+        # windows that overlap are searched as one, lest half a copy is taken for the nearest
+        merged: list[list[int]] = []
+        for i, a, b in sorted(found):
+            if merged and merged[-1][0] == i and a <= merged[-1][2]:
+                merged[-1][2] = max(b, merged[-1][2])
+            else:
+                merged.append([i, a, b])
+        for i, a, b in merged:
+            for row in range(int(np.searchsorted(begins, a, "right")) - 1, int(np.searchsorted(begins, b - 1, "right"))):
+                for start, end, distance in copies(self.forms[i], whole, int(self.limit[i]), max(a, int(begins[row])), min(b, int(ends[row]))):
+                    start += whole[start] == 32
+                    end -= whole[end - 1] == 32
+                    if end > start:
+                        yield row, i, int(at[start] - offsets[row]), int(at[end - 1] + 1 - offsets[row]), distance
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

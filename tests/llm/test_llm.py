@@ -162,6 +162,17 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.decontaminate(odd, bench).count() == len(ODD)
 
 
+def test_decontamination_beside_a_refrain():
+    r = random.Random(10)
+    items = [(i, prose(r, 30)) for i in range(20)]
+    refrains = [t + (" " + t[-25:].strip()) * 200 for _, t in items]
+    own = decontaminate.Items(items)
+    raw = [t.encode() for t in refrains]
+    off = np.r_[0, np.cumsum([len(t) for t in raw])]
+    got = {(row, item): (start, distance) for row, item, start, _, distance in own.find(np.frombuffer(b"".join(raw), np.uint8), off)}
+    assert all(got.get((i, i)) == (0, 0) for i in range(20))
+
+
 def test_edit_search_is_exact():
     r = random.Random(2)
     for _ in range(60):
