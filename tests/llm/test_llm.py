@@ -173,6 +173,32 @@ def test_decontamination_beside_a_refrain():
     assert all(got.get((i, i)) == (0, 0) for i in range(20))
 
 
+def test_decontamination_finds_every_copy_within_the_rate():
+    r = random.Random(11)
+    items = [(i, prose(r, 200)[:n].strip()) for i, n in enumerate([8, 14, 25, 39, 41, 50, 60, 80, 100, 200, 400])]
+    own = decontaminate.Items(items)
+    texts, planted = [], []
+    for i, t in items:
+        n = own.limit[i]
+        for kind in range(6):
+            w = list(t)
+            if kind == 0:  # one substitution every so many letters
+                for k in range(n):
+                    w[(2 * k + 1) * len(w) // (2 * n)] = "0"
+            else:
+                for k in range(n):
+                    at = r.randrange(len(w))
+                    w[at : at + 1] = r.choice([["9"], [w[at], "9"]] + [[]] * (" " not in w[max(0, at - 1) : at + 2]))
+            planted.append(i)
+            texts.append(prose(r, 20) + " " + "".join(w) + " " + prose(r, 20))
+    raw = [t.encode() for t in texts]
+    off = np.r_[0, np.cumsum([len(t) for t in raw])]
+    got = {(row, item) for row, item, *_ in own.find(np.frombuffer(b"".join(raw), np.uint8), off)}
+    forms, limits = own.forms, own.limit.tolist()
+    near = {(row, i) for row, t in enumerate(raw) for i in range(len(items)) if decontaminate.edit_search(forms[i], b" " + decontaminate.normal(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes() + b" ")[0] <= limits[i]}
+    assert got == near and sum((row, i) in near for row, i in enumerate(planted)) >= 60
+
+
 def test_edit_search_is_exact():
     r = random.Random(2)
     for _ in range(60):
