@@ -2,8 +2,8 @@
 
 Each page is paired with the pages next to it in the order of URL paths within its host. The lines of the
 two are aligned by their longest common subsequence, and shared lines go: menus, notices and footers repeat
-from page to page, articles do not. Lines inside an element that the page itself marks as its article stay,
-since two copies of one article share all of their lines; elsewhere sharing decides. Elements that are
+from page to page, articles do not. On a page that marks its article, lines outside go as well, and a
+neighbour with more than half of the article is a copy, which takes no line away. Elements that are
 never part of an article (menus, forms, scripts, comments) go by their tag, role, class or id.
 """
 
@@ -106,13 +106,32 @@ class Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
-    """Blocks of a page; where it marks an article, blocks outside are left out. Null and empty pages have none."""
+    """All visible blocks of a page, with their zones. Null and empty pages have none."""
     p = Blocks()
     p.feed(html or "")
     HTMLParser.close(p)  # what an unfinished tag holds counts as text
     p.flush()
-    marked = [b for b in p.blocks if b[0] == 2]
-    return marked or p.blocks
+    return p.blocks
+
+
+def main_text(found: list[tuple[int, str]], others: list[bytes]) -> list[str]:
+    """Lines of a page that neighbours do not share; of a page that marks its article, only lines inside.
+
+    A neighbour with more than half of the marked article holds a copy of it, and takes nothing away.
+    """
+    own = np.array([xxhash.xxh64_intdigest(t) for _, t in found], np.uint64)
+    inside = np.array([z == 2 for z, _ in found], bool)
+    marked = inside.any()
+    size = np.array([len(t) for _, t in found]) * inside
+    common = np.zeros(len(found), bool)
+    for o in others:
+        c = shared(own, np.frombuffer(o, np.uint64))
+        if not marked or 2 * size[c].sum() <= size.sum():
+            common |= c
+    kept = (inside | (not marked)) & ~common
+    if not kept.any():
+        kept = inside | (not marked)
+    return [t for (_, t), k in zip(found, kept) if k]
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,7 +172,7 @@ _KEYS = "row long, host string, path string, lines binary"
 
 
 def keys(pages: DataFrame) -> DataFrame:
-    """(row, host, path, lines): the place of each page, and hashes of its lines that structure does not decide."""
+    """(row, host, path, lines): the place of each page, and hashes of its visible lines."""
 
     def run(batches):
         for batch in batches:
@@ -162,7 +181,7 @@ def keys(pages: DataFrame) -> DataFrame:
                 out = []
                 for url, html in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
                     host, path = _place(url)
-                    lines = np.array([xxhash.xxh64_intdigest(t) for z, t in blocks(html) if z < 2], np.uint64)
+                    lines = np.array([xxhash.xxh64_intdigest(t) for _, t in blocks(html)], np.uint64)
                     out.append((host, path, lines.tobytes()))
                 yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.binary()))]], ["row", "host", "path", "lines"])
 
@@ -195,13 +214,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
     Null or empty html has an empty text. A page alone on its host, or without a URL, loses no line by
-    differencing. If all lines of a page that marks no article are shared, the page is a copy: it keeps them.
+    differencing. If all lines of a page are shared, the page is a copy: it keeps them.
     Rows that agree in everything get the same result; extra columns are ignored.
     """
     ready(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
     places = checkpoint(keys(pages)).dropDuplicates(["row"])
-    # pages that mark their article are settled; only the others need lines of their neighbours
     beside = checkpoint(neighbours(places))
     asked = beside.join(places.where(F.length("lines") > 0).select("row"), "row", "left_semi").where(F.size("other") > 0)
 
@@ -221,14 +239,7 @@ def extract(pages: DataFrame) -> DataFrame:
             for z, others in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = expand(z).tobytes().decode()
                 found = [(int(s[0]), s[1:]) for s in raw.split("\x00")] if raw else []
-                if others and found and found[0][0] < 2:
-                    own = np.array([xxhash.xxh64_intdigest(t) for _, t in found], np.uint64)
-                    common = np.zeros(len(own), bool)
-                    for o in others:
-                        common |= shared(own, np.frombuffer(o, np.uint64))
-                    if not common.all():
-                        found = [f for f, c in zip(found, common) if not c]
-                out.append("\n".join(t for _, t in found))
+                out.append("\n".join(main_text(found, others or [])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return read.select("page_id", "url", "z", "other").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -308,6 +308,13 @@ def test_page_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_page_text_differences_marked_pages(spark):
+    page = lambda k: f"<body><div>Menu of all</div><main><div>Read our notice first</div><p>story {k} is told at some length here</p></main></body>"
+    rows = [(1, "http://a.b/x/1", page(1)), (2, "http://a.b/x/2", page(2)), (3, "http://a.b/x/3", "<body><div>Menu of all</div><div>plain story</div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "story 1 is told at some length here", 2: "story 2 is told at some length here", 3: "plain story"}
+
+
 def test_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(50):
