@@ -27,14 +27,25 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 NEVER = set("script style noscript template head title nav footer aside form button select textarea input iframe object svg canvas menu dialog audio video".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words in a class, id, role or label that mark what is not the article, and what is.
-_BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|recommended|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|tags|toolbar|widget|complementary|contentinfo|search|alert|legal|login|signup)(?:$|[\s_-])", re.I)
+_BOILER = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|recommended|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|tags|toolbar|widget|complementary|contentinfo|search|alert|legal|login|signup)$", re.I)
+#: Words that may stand beside these in one name (site-footer, share-buttons); any other, as in has-sidebar, makes it another name.
+_BESIDE = set("site page main global top bottom left right inner outer primary secondary list area box bar link links button buttons posts item items section container wrapper wrap block group".split())
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|entry-content|post-content|post-body|main-content|story-body|main|content|post|entry|story)(?:$|[\s_-])", re.I)
 _SPACE = re.compile(r"\s+")
 SPAN = 400
 
 
+def _boiler(marks: str, inside: bool) -> bool:
+    """Whether a name among marks stands for what is not the article; headers inside an article are part of it."""
+    for name in marks.split():
+        parts = [x for x in re.split("[-_]+", name.lower()) if x not in _BESIDE]
+        if parts and all(_BOILER.match(x) and not (inside and x in ("header", "masthead")) for x in parts):
+            return True
+    return False
+
+
 class Blocks(HTMLParser):
-    """(zone, text) in page order; zone is 2 inside a marked article, 1 elsewhere, and what is never article is left out."""
+    """(zone, text) in page order; zone is 2 inside a marked article, 1 elsewhere, -1 in a form or what a name marks; what is never article is left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -64,8 +75,13 @@ class Blocks(HTMLParser):
             a = {k: v or "" for k, v in attrs}
             marks = " ".join(a.get(k, "") for k in ("class", "id", "role", "aria-label"))
             hidden = "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I)
-            if tag in NEVER or hidden or (tag == "header" and zone == 1) or (tag not in ("article", "main", "body", "html") and marks.strip() and _BOILER.search(marks)):
+            if (tag in NEVER and tag != "form") or hidden or (tag == "header" and zone == 1):
                 zone = 0
+            elif tag not in ("article", "main", "body", "html") and (tag == "form" or _boiler(marks, zone == 2)):
+                zone = -1
+            elif zone < 0:
+                # a wrapper of the article; articles after the first are comments and teasers
+                zone = 2 if tag == "main" or (tag == "article" and not _boiler(marks, False) and not any(z == 2 for z, _ in self.blocks)) else zone
             elif tag in ("article", "main") or "articlebody" in a.get("itemprop", "").lower() or (tag in ("div", "section", "td") and marks.strip() and _MAIN.search(marks)):
                 zone = 2
         if zone != self.zone:
@@ -106,12 +122,15 @@ class Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
-    """All visible blocks of a page, with their zones. Null and empty pages have none."""
+    """All visible blocks of a page, with their zones. Null and empty pages have none.
+
+    What stands in forms or under names of other parts is left out, unless there is nothing else.
+    """
     p = Blocks()
     p.feed(html or "")
     HTMLParser.close(p)  # what an unfinished tag holds counts as text
     p.flush()
-    return p.blocks
+    return [b for b in p.blocks if b[0] > 0] or [(1, t) for _, t in p.blocks]
 
 
 def main_text(found: list[tuple[int, str]], others: list[bytes]) -> list[str]:

@@ -315,6 +315,15 @@ def test_page_text_differences_marked_pages(spark):
     assert got == {1: "story 1 is told at some length here", 2: "story 2 is told at some length here", 3: "plain story"}
 
 
+def test_wrappers_do_not_drop_the_article():
+    article = "<article><header class='entry-header'><h1>Head</h1></header><p>story</article>"
+    for wrapper in ("<div class=has-sidebar>", "<div class='page no-sidebar'>", "<form>", "<div class=sidebar>", "<div class=legal-analysis>"):
+        assert [t for z, t in html_text.blocks(f"<body>{wrapper}{article}") if z == 2] == ["Head", "story"]
+    assert html_text.blocks("<body><form><p>all of a page</form>") == [(1, "all of a page")]
+    rest = "<div class=site-footer>f</div><div id=comments><article>me too</article></div><div class='share-buttons'>s</div><form>mail</form>"
+    assert html_text.blocks(f"<body>{article}{rest}") == [(2, "Head"), (2, "story")]
+
+
 def test_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(50):
