@@ -25,6 +25,8 @@ WORDS, GRAMS = 20_000, 6_000
 LENGTHS = (1, 2, 3, 4)
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+#: A run of more letters is no word, but text without spaces; it is read in pieces of so many, each with the letters after it that its last n-grams need.
+LONG, PIECE = 24, 8
 
 
 @dataclass
@@ -61,7 +63,7 @@ class Reader:
 
     def learn(self, new: list[str]) -> None:
         """Backs off for unknown words: at each position the longest n-gram known counts. A discount for each step back would be the same in every language, and is left out."""
-        points = _points(" " + " ".join(w[:64] for w in new) + " ")
+        points = _points(" " + " ".join(new) + " ")
         space = np.flatnonzero(points == _points(" ")[0])
         place = np.arange(len(points) - 1)
         left = np.repeat(space[1:], np.diff(space)) + 1 - place  # characters up to the space after the word
@@ -82,12 +84,12 @@ class Reader:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out = []
-        parts = [_WORD.findall(text.lower()) if text else [] for text in texts]
+        parts = [[p for w in _WORD.findall(text.lower()) for p in ((w,) if len(w) <= LONG or w in self.model.words else pieces(w))] if text else [] for text in texts]
         together = [w for found in parts for w in found]
         if len(together) < self.ROOM // 2 and self.model.languages:
             self.codes(together)
         for found in parts:
-            if not found or (len(found) < 4 and not any(c.isalpha() for w in found for c in w)) or not self.model.languages:
+            if not found or not any(c.isalpha() for w in found for c in w) or not self.model.languages:
                 out.append((UNDETERMINED, 0.0))
                 continue
             total = np.zeros(len(self.model.languages))
@@ -110,6 +112,11 @@ class Reader:
         return [at[w] for w in found]
 
 
+def pieces(run: str) -> list[str]:
+    """A long run, so that each place of it begins one n-gram at least and it weighs as so many words."""
+    return [run[i : i + PIECE + LENGTHS[-1] - 1] for i in range(0, len(run), PIECE)]
+
+
 def _points(s: str) -> np.ndarray:
     return mix(np.frombuffer(s.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64))
 
@@ -126,7 +133,7 @@ def _counted(batches):
             for n in LENGTHS:
                 to = counts[n, lang] = Counter()
                 for w, k in counts[0, lang].items():
-                    s = f" {w[:64]} "
+                    s = f" {w} "
                     for i in range(len(s) - n + 1):
                         to[s[i : i + n]] += k
         for (kind, lang), c in counts.items():

@@ -222,6 +222,12 @@ def test_language_identification(spark, sf, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.train(empty)).collect()} == {"und"}
 
 
+def test_language_of_long_runs():
+    own = language_id.Reader(language_id.LanguageModel(["a", "b"], {}, {"x": 0, "y": 1}, np.array([[-1, -6], [-6, -1]], np.float32)))
+    found = own.predict(["x" * 70 + "y" * 300, "xx xx " + "y" * 300, "½ ½ ½ ½ ½", "½ ½ ½ ½ x"])
+    assert [x for x, _ in found] == ["b", "b", "und", "a"]
+
+
 def test_toxicity(spark, sf, odd, empty):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     got = toxicity.op7_toxicity(spark, sf).join(labels, "doc_id").where("not held_out").collect()
