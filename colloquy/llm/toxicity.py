@@ -1,7 +1,7 @@
 """Toxicity: a learned lexicon read through a Levenshtein automaton, and the windows around its hits.
 
 The lexicon holds words and stems (open at the end) that labelled toxic documents have far more often
-than others. Its trie is intersected with the Levenshtein automaton of one edit; the product is
+than others. Its trie is intersected with the Levenshtein automaton of one edit or swap; the product is
 determinised as words are met, so a word costs a table look-up for each letter and most die after a few.
 A window of words around each hit tells abuse (other hits close by, a second person) from quotation
 (quotation marks, words of reporting). A logistic regression joins these into a score.
@@ -27,6 +27,8 @@ from colloquy.llm.language_id import remainder
 SAMPLE, TERMS = 5000, 400
 #: Lengths of stems; from so many letters on a term may be misspelled; words of the window to each side.
 STEMS, FUZZY, WINDOW = (4, 5, 6, 7), 5, 8
+#: From so many letters on a term may have two letters swapped or a digit for a letter.
+SWAPPED = 4
 _WORD = re.compile(r"[^\W_]+")
 #: Second persons and words of reporting, in English, French, German and Spanish (fixed values).
 ADDRESS = set("you your youre yourself tu toi te vous votre du dich dir ihr euch tú ti usted ustedes vosotros eres".split())
@@ -44,13 +46,19 @@ class ToxicityModel:
 
 
 class Automaton:
-    """The trie of terms, intersected with at most one edit after the first letter; states are made when first reached."""
+    """The trie of terms, intersected with at most one edit; states are made when first reached.
+
+    An edit is another letter, a letter too many or missing (not the first), or two letters swapped. Terms
+    of SWAPPED to FUZZY letters take only swaps and digits for letters. A state is a node and its edits, or
+    the letter that must follow to end a swap.
+    """
 
     def __init__(self, terms: dict[str, float]):
         self.children: list[dict[str, int]] = [{}]
         self.word: dict[int, float] = {}
         self.stem: dict[int, float] = {}
-        self.fuzzy: dict[int, bool] = {0: False}
+        self.fuzzy: dict[int, bool] = {0: any(len(t) >= FUZZY and not t.endswith("*") for t in terms)}
+        self.swapped: set[int] = set()
         for term, weight in terms.items():
             at, letters = 0, term.rstrip("*")
             for c in letters:
@@ -59,6 +67,8 @@ class Automaton:
                     self.children.append({})
                 if len(letters) >= FUZZY and not term.endswith("*"):
                     self.fuzzy[at] = True
+                if len(letters) >= SWAPPED and not term.endswith("*"):
+                    self.swapped.add(at)
             (self.stem if term.endswith("*") else self.word)[at] = weight
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -75,16 +85,24 @@ class Automaton:
     def step(self, at: int, c: str) -> int:
         out = set()
         for node, edits in self.sets[at]:
+            if isinstance(edits, str):
+                if c == edits:
+                    out.add((node, 1))
+                continue
             if c in self.children[node]:
                 out.add((self.children[node][c], edits))
-            if edits == 0 and node:
+            if edits == 0:
                 if self.fuzzy.get(node):
                     out.add((node, 1))  # a letter too many
-                for child in self.children[node].values():
-                    if self.fuzzy.get(child):
+                for letter, child in self.children[node].items():
+                    if self.fuzzy.get(child) or (child in self.swapped and c.isdigit()):
                         out.add((child, 1))  # another letter
-                        if c in self.children[child]:
-                            out.add((self.children[child][c], 1))  # a letter missing
+                    swap = self.children[child].get(c)
+                    if swap is not None:
+                        if node and self.fuzzy.get(child):
+                            out.add((swap, 1))  # a letter missing
+                        if swap in self.swapped and letter != c:
+                            out.add((swap, letter))  # two letters swapped
         self.moves[at][c] = to = self.state(frozenset(out))
         return to
 
@@ -104,7 +122,7 @@ class Automaton:
             if exact:
                 return 0, max(exact)
             if stem is None:
-                close = [self.word[n] for n, e in self.sets[at] if e == 1 and n in self.word and self.fuzzy.get(n)]
+                close = [self.word[n] for n, e in self.sets[at] if e == 1 and n in self.word and n in self.swapped]
                 close += [self.word[k] for n, e in self.sets[at] if e == 0 for k in self.children[n].values() if n and k in self.word and self.fuzzy.get(k)]
                 if close:
                     return 2, max(close)
@@ -130,7 +148,7 @@ class Reader:
         known, look = self.known, self.automaton.look
         for w in set(found):
             if w not in known:
-                known[w] = look(w[:40])
+                known[w] = look(w)
         hit = {i: known[w] for i, w in enumerate(found) if known[w] is not None}
         if not hit:
             return out

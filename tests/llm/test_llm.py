@@ -244,6 +244,14 @@ def test_automaton_finds_one_edit():
     assert all(a.look(w) == (2, 2.0) for w in ("mor0n", "moronn", "moro", "mron", "morxon")) and all(a.look(w) is None for w in ("scam", "oron", "marxn", "the", ""))
 
 
+def test_automaton_finds_first_letters_and_swaps():
+    a = toxicity.Automaton({"idiot": 2.0, "stupid": 2.0, "scum": 2.0})
+    assert all(a.look(w) == (2, 2.0) for w in ("1diot", "5tupid", "idoit", "diiot", "xidiot", "stupdi", "scmu", "5cum", "sc0m"))
+    assert all(a.look(w) is None for w in ("idtoi", "scam", "sum", "scuma"))
+    long = "a" * 40 + "b"
+    assert toxicity.Reader({"a" * 40: 2.0, "c" + long: 2.0}).features("c" + long)[0] > 0
+
+
 def test_quotation_weighs_less_than_abuse():
     own = toxicity.Reader({"moron": 2.0})
     quoted, plain = own.features('he said the word "moron" was quoted here'), own.features("well you moron are here again now")
