@@ -179,6 +179,8 @@ def findings(spark: SparkSession, text: Column, n: int = FINDINGS, seed: int = 1
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every secret replaced by MASK, wherever it stands in the text; a null text stays null, n_chars (if present) is counted anew."""
     found = F.coalesce(findings(ready(docs.sparkSession), F.col(text_col)), F.array().cast("array<struct<value: string, start: bigint, score: double>>"))
+    # the longest first: a value may be part of another
+    found = F.transform(F.reverse(F.array_sort(F.transform(found, lambda c: F.struct(F.length(c["value"]).alias("n"), c["value"].alias("value"))))), lambda c: F.struct(c["value"].alias("value")))
     out = docs.withColumn(text_col, F.aggregate(found, F.col(text_col), lambda t, c: F.replace(t, c["value"], F.lit(MASK))))
     return out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

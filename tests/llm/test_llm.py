@@ -312,6 +312,12 @@ def test_secrets(spark, odd, empty):
     assert secrets.redact(odd).count() == len(ODD) and secrets.redact(empty).count() == 0
 
 
+def test_redaction_of_a_value_within_another(spark):
+    short = "q7Zr9Kx2Lw5Tn8Vb3Mp6"
+    rows = [(1, f'token = "{short}" and secret = "{short}Hd4Js1Gf0Yc7Ra9"')]
+    assert secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"] == 'token = "[secret]" and secret = "[secret]"'
+
+
 def test_page_text(spark):
     menu, ad = "<div class=x>Home News Contact</div>", "<div class=x>Buy pills now</div>"
     plain = lambda body: f"<html><body>{menu}{ad}<div class=x>{body}</div></body></html>"
