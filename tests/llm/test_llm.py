@@ -177,9 +177,10 @@ def test_decontamination_finds_every_copy_within_the_rate():
     r = random.Random(11)
     items = [(i, prose(r, 200)[:n].strip()) for i, n in enumerate([8, 14, 25, 39, 41, 50, 60, 80, 100, 200, 400])]
     own = decontaminate.Items(items)
+    limits = [int(decontaminate.RATE * len(f.strip())) for f in own.forms]
     texts, planted = [], []
     for i, t in items:
-        n = own.limit[i]
+        n = limits[i]
         for kind in range(6):
             w = list(t)
             if kind == 0:  # one substitution every so many letters
@@ -194,7 +195,7 @@ def test_decontamination_finds_every_copy_within_the_rate():
     raw = [t.encode() for t in texts]
     off = np.r_[0, np.cumsum([len(t) for t in raw])]
     got = {(row, item) for row, item, *_ in own.find(np.frombuffer(b"".join(raw), np.uint8), off)}
-    forms, limits = own.forms, own.limit.tolist()
+    forms = own.forms
     near = {(row, i) for row, t in enumerate(raw) for i in range(len(items)) if decontaminate.edit_search(forms[i], b" " + decontaminate.normal(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].tobytes() + b" ")[0] <= limits[i]}
     assert got == near and sum((row, i) in near for row, i in enumerate(planted)) >= 60
 
