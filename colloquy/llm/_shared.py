@@ -35,7 +35,11 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, paths) if p)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        if named is None:  # one machine, as in tests; executors elsewhere could not read it
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
     return spark
 
 
@@ -231,7 +235,7 @@ def by_key(left: DataFrame, right: DataFrame, key: str, func, schema: str) -> Da
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(func, schema)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for the nodes of edges (a, b).
 
     Alternating large-star and small-star steps: edges never grow in number, hot nodes are folded by
@@ -249,7 +253,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     was = None
-    for _ in range(rounds):
+    while True:  # the labels only fall, so this ends
         edges = checkpoint(star(star(edges, True), False))
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == was or not now["n"]:
