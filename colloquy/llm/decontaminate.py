@@ -1,13 +1,16 @@
-"""Benchmark decontamination: grams that a copy must keep, counted by shift; exact edit distance.
+"""Benchmark decontamination: CGK walks, bit-sampling tables over item-sized windows, exact edit distance.
 
 Texts are compared as lower-cased bytes in which every run of other than letters, digits and non-ASCII
-bytes is one space. An edit changes q grams of q bytes at most, so a copy within RATE keeps a number of them
-that is known (the q-gram lemma), at shifts that differ by the number of edits at most. Every place that has
-so many is searched, bit-parallel, for the exact edit distance: no copy within RATE is lost, however its
-edits lie and whatever repeats beside it.
-
-Tables of CGK walks chose among windows before. They are gone, as they could only lose copies that the
-count, which loses none, has found.
+bytes is one space. A window begins at each word of a text, and at each word of an item that has room for it.
+A CGK walk reads a window: a random function of step and byte says whether to go on to the next byte or to
+read this one again, so two windows that are a few edits apart fall into step again and again, and edit
+distance becomes Hamming distance. Tables keep a few sampled steps of a walk as a key; windows that share a
+key in any table, and agree on enough steps of one walk, are candidates. Walks and tables are repeated until
+copies at the full RATE are found (measured recall is in the README). What surrounds a candidate is searched,
+bit-parallel, for the exact edit distance, which alone decides.
+
+Items under WALK bytes are too short to be sampled. They are found by the grams that a copy must keep, counted
+by shift (the q-gram lemma), which loses none.
 """
 
 from __future__ import annotations
@@ -29,6 +32,19 @@ SEEDS, LEAST = (3, 4, 5, 6), 24
 SLOTS, STRETCH = 1 << 19, 1 << 17
 #: Shorter items (in normal form) are compared with the spaces around them, so that they match whole words.
 SHORT = 40
+#: Shorter items are found by grams. Windows have the greatest of these sizes that an item is twice as long as.
+WALK, SIZES = 80, (40, 80)
+#: Steps of a walk over a window of each size, and the share of one walk's steps on which a candidate agrees.
+STEPS, AGREE = {n: 3 * n // 2 for n in SIZES}, {40: 0.6, 80: 0.5}
+#: Walks, and tables for each walk and size.
+WALKS, TABLES = 2, 16
+#: Windows at once, and slots for each key, which are asked before a table is searched.
+CHUNK, SLOTS_EACH = 1 << 12, 16
+#: Steps on which unrelated windows agree, and chance candidates of a window in all tables: they set how many steps a key has.
+BY_CHANCE, CHANCE = 0.14, 0.02
+_RNG = np.random.default_rng(20250607)
+_GO_ON = _RNG.integers(0, 2, (WALKS, STEPS[SIZES[-1]], 256)).astype(np.int64)
+_ORDER = np.stack([_RNG.permutation(STEPS[n])[: STEPS[SIZES[0]]] for _ in range(WALKS * TABLES) for n in SIZES]).reshape(WALKS, TABLES, len(SIZES), -1)
 #: Items that are broadcast at once; a longer benchmark is read in blocks of so many.
 ITEMS = 20_000
 _NORMAL = LOWER.copy()
@@ -87,6 +103,102 @@ def copies(item: bytes, text: bytes, limit: int, lo: int, hi: int) -> Iterator[t
         todo += [(lo, start), (end, hi)]
 
 
+def begins(text: np.ndarray) -> np.ndarray:
+    """Where windows begin: at words, at signs of three or more bytes (scripts without spaces), and within runs without a
+    space; of all these at about every second, which the bytes there choose, so that a text and its copy choose alike."""
+    edge = np.diff(np.r_[False, text != 32, False].astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = np.flatnonzero(last - first > 24)
+    plain = np.zeros(len(text), bool)
+    plain[first] = True
+    plain[text >= 0xE0] = True
+    every = plain.copy()
+    for a, z in zip(first[long].tolist(), last[long].tolist()):
+        every[a + 24 : z] = True
+    at = np.flatnonzero(every)
+    pair = text[at].astype(np.int64) * 31 + np.r_[text, np.uint8(32)][at + 1]
+    return at[(pair * 0x9E37 >> 7 & 1).astype(bool) & (plain[at] | (pair % 4 == 0))]
+
+
+def walked(text: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    """[walk, step, window]: the bytes that the walks read; text must go on for steps bytes after the last start."""
+    out = np.empty((WALKS, steps, len(starts)), np.uint8)
+    for w in range(WALKS):
+        at = starts.astype(np.int64)
+        for k in range(steps):
+            np.take(text, at, out=out[w, k], mode="clip")
+            at += np.take(_GO_ON[w, k], out[w, k])
+    return out
+
+
+class Windows:
+    """Tables over the windows of a block of items."""
+
+    def __init__(self, forms: list[bytes], own: list[int]):
+        self.classes, sized = [], [[i for i in own if n == max(x for x in SIZES if 2 * x <= len(forms[i]))] for n in SIZES]
+        some = [(k, n, items) for k, (n, items) in enumerate(zip(SIZES, sized)) if items]
+        self.steps = max((STEPS[n] for _, n, _ in some), default=0)
+        for k, n, items in some:
+            item, offset, read = [], [], []
+            for i in items:
+                text = np.frombuffer(forms[i], np.uint8)
+                at = begins(text)
+                at = at[at <= max(0, len(text) - n)]
+                padded = np.r_[text, np.full(STEPS[n], 32, np.uint8)]
+                item.append(np.full(len(at), i))
+                offset.append(at)
+                read.append(walked(padded, at, STEPS[n]))
+            item, offset, read = np.concatenate(item), np.concatenate(offset), np.concatenate(read, axis=2)
+            length = int(np.ceil(np.log(len(item) * WALKS * TABLES / CHANCE) / -np.log(BY_CHANCE)))
+            sampled = np.sort(_ORDER[:, :, k, : max(8, length)], axis=2)
+            tables, bits = [], max(16, (SLOTS_EACH * len(item)).bit_length())
+            for w in range(WALKS):
+                for t in range(TABLES):
+                    key = self.keys(read[w], sampled[w, t])
+                    order = np.argsort(key, kind="stable")
+                    slots = np.zeros(1 << bits, bool)
+                    slots[key >> U(64 - bits)] = True
+                    tables.append((w, sampled[w, t], U(64 - bits), slots, key[order], order))
+            self.classes.append((STEPS[n], AGREE[n], item, offset, read, tables))
+
+    @staticmethod
+    def keys(read: np.ndarray, sampled: np.ndarray) -> np.ndarray:
+        """One value for the bytes that each window shows at the sampled steps, eight at least; its top bits are mixed."""
+        packed = np.empty((read.shape[1], 8), np.uint8)
+        for i, k in enumerate(sampled[:8]):
+            packed[:, i] = read[k]
+        key = packed.view(np.uint64)[:, 0] * U(0x9E3779B97F4A7C15)
+        for k in sampled[8:]:
+            key ^= read[k]
+            key *= U(0xBF58476D1CE4E5B9)
+        return key
+
+    def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, place of its first byte, as far as one can say): windows of text that a table joins to an item's."""
+        starts = begins(text)
+        padded = np.r_[text, np.full(self.steps, 32, np.uint8)]
+        for lo in range(0, len(starts) if self.steps else 0, CHUNK):
+            at = starts[lo : lo + CHUNK]
+            read = walked(padded, at, self.steps)
+            for steps, least, item, offset, known, tables in self.classes:
+                pairs = []
+                for w, sampled, shift, slots, keys, order in tables:
+                    key = self.keys(read[w], sampled)
+                    some = np.flatnonzero(slots.take((key >> shift).view(np.int64)))
+                    first, last = np.searchsorted(keys, key[some], "left"), np.searchsorted(keys, key[some], "right")
+                    many = last - first
+                    if many.any():
+                        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        pairs.append(np.repeat(some, many) << 32 | order[np.repeat(first, many) + nth])
+                if not pairs:
+                    continue
+                pairs = np.unique(np.concatenate(pairs))
+                for a in range(0, len(pairs), 1 << 12):
+                    here, there = pairs[a : a + (1 << 12)] >> 32, pairs[a : a + (1 << 12)] & 0xFFFFFFFF
+                    agree = (read[:, :steps, here] == known[:, :, there]).mean(axis=1).max(axis=0) >= least
+                    yield from zip(item[there[agree]].tolist(), (at[here[agree]] - offset[there[agree]]).tolist())
+
+
 class Items:
     """A block of benchmark items, ready to be looked for."""
 
@@ -98,13 +210,14 @@ class Items:
         self.ids = [i for i, _ in items]
         self.limit = np.array([int(RATE * len(s)) for s in forms], np.int64)
         self.forms = [b" " + s + b" " if 0 < len(s) < SHORT else s for s in forms]
-        total = sum(map(len, self.forms))
+        self.walks = Windows(self.forms, [i for i, f in enumerate(self.forms) if len(f) >= WALK])
+        total = sum(len(f) for f in self.forms if len(f) < WALK)
         # so many bytes of text at once that seeds make a bounded number of hits
         self.stretch = max(1 << 12, STRETCH * 40_000 // max(total, 40_000))
-        self.lap = max((2 * len(f) + 4 for f in self.forms), default=0)
+        self.lap = max((2 * len(f) + 4 for f in self.forms if len(f) < WALK), default=0)
         self.seeds = []
         for q in sorted(SEEDS, reverse=True):
-            own = np.array([i for i, s in enumerate(self.forms) if s and self.gram(i) == q], np.int64)
+            own = np.array([i for i, s in enumerate(self.forms) if 0 < len(s) < WALK and self.gram(i) == q], np.int64)
             if len(own):
                 keys = np.concatenate([self.slots(np.frombuffer(self.forms[i], np.uint8), q) for i in own])
                 size = np.array([len(self.forms[i]) for i in own])
@@ -191,7 +304,10 @@ class Items:
         begins, ends = off[:-1] + 2 * pad, off[1:] + 2 * pad + 2
         whole = text.tobytes()
         found, lo, n = [], 0, len(text)
-        while lo < n:
+        for i, a in set(self.walks.candidates(text)):  # a copy begins and ends at most limit edits from where its window says
+            slack = int(self.limit[i]) + 1
+            found.append((i, max(0, a - slack), min(n, a + len(self.forms[i]) + 2 * slack)))
+        while lo < n and self.seeds:
             hi = min(n, lo + self.stretch + 2 * self.lap)
             found += [(i, lo + a, lo + b) for i, a, b in self.windows(text[lo:hi])]
             lo = hi - 2 * self.lap if hi < n else n
@@ -246,9 +362,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that copy an item; documents with a null id stay, as nothing names them."""
-    named = leaks(docs.where("doc_id is not null"), benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(named, docs["doc_id"] == named["leaked"], "left_anti")
+    """docs without those whose text copies an item. Each row is judged by its text, so rows that share an id are judged apart; rows
+    with a null text stay."""
+    columns = docs.columns
+    names = [f"_{i}" for i in range(len(columns))]  # positions for names, so that no column can clash
+    rows = docs.toDF(*names).withColumn("_hash", F.xxhash64(F.col(names[columns.index("text")]).cast("string")))
+    found = leaks(rows.select("_hash", F.col(names[columns.index("text")]).alias("text")).where("text is not null"), benchmark, id_col="_hash").select(F.col("doc_id").alias("_leaked")).distinct()
+    return rows.join(found, F.col("_hash") == F.col("_leaked"), "left_anti").select(*names).toDF(*columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
