@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 _W = r"[\p{L}\p{N}_]"
 _D = r"\p{Nd}"
-_S = r"[\s\x1c-\x1f\x85   -     　]"
+_SPACES = r"\s\x1c-\x1f\x85   -     　"
+_S = f"[{_SPACES}]"
 _START, _END = rf"(?:(?<!{_W})(?={_W})|(?<={_W})(?!{_W}))", rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 # What counts as each kind of personal data.
-URL = rf"(?i)(?:https?://|www\.)(?:(?!{_S})[^<>])+"
+URL = rf"(?i)(?:https?://|www\.)[^<>{_SPACES}]+"
 EMAIL = rf"(?i)(?<![\p{{L}}\p{{N}}_.+-])[\p{{L}}\p{{N}}_.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
 LOOSE_EMAIL = rf"(?i)[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_.-]+\.[a-z]{{2,}}"
 IP = rf"(?<![{_D}.])(?:{_D}{{1,3}}\.){{3}}{_D}{{1,3}}(?![{_D}.])"
@@ -30,7 +31,7 @@ _FEWER_LABELS = "token|hash|password|secret|api[_ -]?key|account|username|user[_
 
 
 def _labelled(labels: str) -> str:
-    return rf"(?i)({_START}(?:{labels}){_END}{_S}*[:=：]{_S}*)(?:(?!{_S})[^&<>])+"
+    return rf"(?i)({_START}(?:{labels}){_END}{_S}*[:=：]{_S}*)[^&<>{_SPACES}]+"
 
 
 SECRET = _labelled(_LABELS)
@@ -61,9 +62,11 @@ def _digits(c: Column) -> Column:
 
 def phone_candidates(text: Column) -> Column:
     """array<string>: numbers of 8 to 15 digits that are no part of a URL, address, IP, UUID or date."""
+    clean = text
     for pattern in (URL, EMAIL, IP, UUID, DATE):
-        text = F.regexp_replace(text, pattern, " ")
-    return F.filter(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda m: _digits(m).between(8, 15))
+        clean = F.regexp_replace(clean, pattern, " ")
+    found = F.filter(F.regexp_extract_all(clean, F.lit(PHONE), F.lit(0)), lambda m: _digits(m).between(8, 15))
+    return F.when(_digits(text) >= 8, found).otherwise(F.array().cast("array<string>"))
 
 
 def pii_flags(text: Column) -> dict[str, Column]:
@@ -129,7 +132,7 @@ def template(text: Column) -> Column:
 
 
 def without_urls(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?i)(?:https?://|www\.)(?:(?!{_S})[\s\S])+", "")
+    return F.regexp_replace(text, rf"(?i)(?:https?://|www\.)[^{_SPACES}]+", "")
 
 
 def question_mark(text: Column) -> Column:

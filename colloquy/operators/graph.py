@@ -8,25 +8,31 @@ topic and component: doubling finds the first ordinary message of each chain, an
 from __future__ import annotations
 
 import math
+import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.sources.messages import TOPIC_MARK
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where the driver runs the tasks as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="checkpoints-")
+    return named
+
+
 def persisted(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, so that loops keep a short lineage; kept by recomputation where none is set."""
+    """df written to the shared checkpoint folder, so that loops keep a short lineage."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -36,9 +42,15 @@ def parents(messages: DataFrame) -> DataFrame:
     A reply names an id and perhaps a file; without one it is the row's own file. Ids are unique in a
     checked table, so the file only has to agree.
     """
-    target = messages.select(F.col("message_id").alias("_id"), F.col("source_file").alias("_file"), F.col("message_type").alias("parent_type"), F.col("text").alias("parent_text"), F.col("sender").alias("parent_sender"), F.col("ts").alias("parent_ts"), F.col("row_idx").alias("parent_row"))
-    on = (F.col("reply_to") == F.col("_id")) & (F.coalesce("reply_to_source_file", "source_file") == F.col("_file"))
-    return messages.join(target, on, "left").withColumnRenamed("_id", "parent_id").drop("_file")
+    target = messages.select(
+        F.col("message_id").alias("parent_id"), F.col("source_file").alias("_file"), F.col("message_type").alias("parent_type"),
+        F.col("text").alias("parent_text"), F.col("sender").alias("parent_sender"), F.col("ts").alias("parent_ts"), F.col("row_idx").alias("parent_row"),
+    )
+    on = (F.col("reply_to") == F.col("parent_id")) & (F.coalesce("reply_to_source_file", "source_file") == F.col("_file"))
+    # rows that reply to nothing have one key, null: they stay out of the join
+    joined = messages.where("reply_to is not null").join(target, on, "left").drop("_file")
+    plain = messages.where("reply_to is null").select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema if f.name != "_file"])
+    return joined.unionByName(plain)
 
 
 def direct_edges(linked: DataFrame) -> DataFrame:
@@ -95,13 +107,27 @@ def sender_graph(pairs: DataFrame) -> DataFrame:
     the largest two-way cut is exact up to 20 senders and not computed beyond. The matrix has a row for each
     sender, so it is read in one task: senders are bounded by people, not by messages.
     """
-    schema = "senders int, edges int, total_weight double, triangles long, modularity double, communities array<array<string>>, isolated array<string>, internal_fraction double, max_cut_fraction double, max_cut_status string, max_cut_side array<string>"
+    schema = "senders int, edges int, total_weight double, modularity double, communities array<array<string>>, isolated array<string>, internal_fraction double, max_cut_fraction double, max_cut_status string, max_cut_side array<string>"
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         a, b, n = (rows[c].to_pylist() for c in ("from_sender", "to_sender", "n"))
         return pa.Table.from_pylist([graph_figures(list(zip(a, b, n)))], schema=_arrow(schema))
 
-    return pairs.select("from_sender", "to_sender", F.col("n").cast("double").alias("n"), F.lit(1).alias("one")).groupBy("one").applyInArrow(run, schema)
+    figures = pairs.select("from_sender", "to_sender", F.col("n").cast("double").alias("n"), F.lit(1).alias("one")).groupBy("one").applyInArrow(run, schema)
+    return figures.crossJoin(F.broadcast(triangles(pairs)))
+
+
+def links(pairs: DataFrame) -> DataFrame:
+    """(a, b, weight), a < b: undirected pairs of different senders."""
+    some = pairs.where("from_sender <> to_sender and n > 0")
+    return some.groupBy(F.least("from_sender", "to_sender").alias("a"), F.greatest("from_sender", "to_sender").alias("b")).agg(F.sum("n").alias("weight"))
+
+
+def triangles(pairs: DataFrame) -> DataFrame:
+    """One row: how many triples of senders are all linked, by joins of the pairs a < b < c."""
+    e = links(pairs).select("a", "b")
+    wedge = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
+    return wedge.join(e.select("a", F.col("b").alias("c")), ["a", "c"]).agg(F.count("*").alias("triangles"))
 
 
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string()), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
@@ -139,9 +165,8 @@ def graph_figures(pairs: list[tuple[str, str, float]]) -> dict:
     inside = [w[np.ix_(g, g)].sum() for g in groups]
     groups_by_weight = sorted(groups, key=lambda g: (-degree[g].sum(), min(g)))
     cut, side = max_cut(w) if 0 < len(names) <= 20 else (None, None)
-    linked = (w > 0).astype(float)
     return {
-        "senders": len(names), "edges": int(np.triu(w > 0, 1).sum()), "total_weight": float(total), "triangles": round(float(np.trace(linked @ linked @ linked)) / 6),
+        "senders": len(names), "edges": int(np.triu(w > 0, 1).sum()), "total_weight": float(total),
         "modularity": float(sum(x / (2 * total) - (degree[g].sum() / (2 * total)) ** 2 for x, g in zip(inside, groups))) if total else 0.0,
         "communities": [[names[i] for i in sorted(g)] for g in groups_by_weight], "isolated": [names[i] for i in range(len(names)) if not degree[i]],
         "internal_fraction": float(sum(inside) / 2 / total) if total else None,

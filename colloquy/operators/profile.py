@@ -86,6 +86,13 @@ def sender_stats(messages: DataFrame) -> DataFrame:
     return normal.groupBy("sender").agg(F.count("*").alias("message_count"), F.count_if(~blank(F.col("text"))).alias("text_message_count"), F.count_if(has_attachment()).alias("attachment_message_count"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def sender_aliases(messages: DataFrame, width: int = 2) -> DataFrame:
+    """(sender, alias): Sender 01, Sender 02 ... in the order of names; names are ranked, never gathered in one row."""
+    names = messages.where("message_type = 'message' and sender is not null").select("sender").distinct()
+    at = F.row_number().over(Window.orderBy("sender")).cast("string")
+    return names.select("sender", F.concat(F.lit("Sender "), F.when(F.length(at) < width, F.lpad(at, width, "0")).otherwise(at)).alias("alias"))
+
+
 def reply_target_types(messages: DataFrame) -> DataFrame:
     linked = parents(messages).where("message_type = 'message' and reply_to is not null")
     kind = F.when(F.col("parent_id").isNull(), "missing").when((F.col("parent_type") == "service") & F.col("parent_text").contains(TOPIC_MARK), "topic_creation_service").otherwise(F.col("parent_type"))

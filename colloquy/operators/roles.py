@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import blank, question_mark, redact, template
 from colloquy.operators.graph import parents
-from colloquy.operators.profile import global_switch_matrix, local, seconds
+from colloquy.operators.ordered import in_time, nearest
+from colloquy.operators.profile import global_switch_matrix, has_attachment, local, seconds
+from colloquy.operators.sampling import SEED, stratified
 
 ROLES = ("", "USER", "AGENT", "INTERNAL", "BOT", "UNKNOWN")
 
@@ -21,9 +23,9 @@ def reply_matrix(messages: DataFrame) -> DataFrame:
 def adjacency_matrix(messages: DataFrame, found: DataFrame, within: int = 600) -> DataFrame:
     """(from_sender, to_sender, n): neighbours in a known topic at most so many seconds apart."""
     rows = messages.select("message_id", "sender", "ts").join(found.where("topic is not null").select("message_id", "row_idx", "topic"), "message_id")
-    w = Window.partitionBy("topic").orderBy("ts", "row_idx")
-    pairs = rows.withColumns({"before": F.lag("sender").over(w), "t": F.lag("ts").over(w)}).where("before is not null")
-    return pairs.where(seconds(F.col("ts"), F.col("t")) <= within).groupBy(F.col("before").alias("from_sender"), F.col("sender").alias("to_sender")).agg(F.count("*").alias("n"))
+    pairs = nearest(rows, F.struct("sender", "ts"), "before", ["topic"], in_time()).where("before is not null")
+    close = pairs.where(seconds(F.col("ts"), F.col("before.ts")) <= within)
+    return close.groupBy(F.col("before.sender").alias("from_sender"), F.col("sender").alias("to_sender")).agg(F.count("*").alias("n"))
 
 
 def dense_matrix(pairs: DataFrame, senders: list[str]) -> DataFrame:
@@ -139,3 +141,31 @@ def participant_sets(roled: DataFrame, members: DataFrame) -> DataFrame:
     return who.groupBy("conversation_id").agg(F.array_sort(F.collect_set("sender")).alias("humans"), pick(F.col("role") == "AGENT").alias("agents"), pick(F.col("role") != "AGENT").alias("others"))
 
 
+def hours(messages: DataFrame, sender: str) -> DataFrame:
+    """(hour, n): when a sender writes, by the wall clock; hours without a message are left out."""
+    own = messages.where((F.col("message_type") == "message") & (F.col("sender") == sender))
+    return own.groupBy(F.hour(local()).alias("hour")).agg(F.count("*").alias("n"))
+
+
+#: Days, rows of each stratum, and rows in all that a sender's sample has (fixed values).
+REVIEW_DAYS, REVIEW_EACH, REVIEW_TOTAL = 8, 3, 30
+
+
+def review_sample(messages: DataFrame, found: DataFrame, seed: int = SEED) -> DataFrame:
+    """(sender, message_id, stratum): up to 30 texts of each sender: one of each of 8 days, then 3 of each stratum, then others."""
+    linked = parents(messages)
+    own = linked.where("message_type = 'message'").where(~blank(F.col("text")))
+    mine = messages.select("message_id", has_attachment().alias("attached"))
+    answered = linked.where("message_type = 'message' and parent_type = 'message' and sender <> parent_sender").select(F.col("parent_id").alias("message_id")).distinct().withColumn("answered", F.lit(True))
+    beside = messages.select("message_id", "ts").join(found.where("topic is not null").select("message_id", "row_idx", "topic"), "message_id").join(mine, "message_id")
+    near = nearest(nearest(beside, F.struct("attached"), "_p", ["topic"], in_time()), F.struct("attached"), "_n", ["topic"], in_time(), later=True)
+    around = near.select("message_id", (F.coalesce("_p.attached", F.lit(False)) | F.coalesce("_n.attached", F.lit(False))).alias("beside"))
+    target = mine.select(F.col("message_id").alias("parent_id"), F.col("attached").alias("target_attached"))
+    rows = own.join(answered, "message_id", "left").join(around, "message_id", "left").join(mine, "message_id").join(target, "parent_id", "left").withColumn("day", F.to_date(local()))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    n = F.length("text")
+    strata = {
+        "question_mark": question_mark(F.col("text")), "reply_to_other_sender": (F.col("parent_type") == "message") & (F.col("parent_sender") != F.col("sender")), "replied_by_other_sender": no("answered"),
+        "attachment_context": no("attached") | no("beside") | no("target_attached"), "long_100plus_chars": n >= 100, "short_20or_fewer_chars": n <= 20,
+    }
+    return stratified(rows, "message_id", strata, REVIEW_EACH, REVIEW_TOTAL, seed, by=["sender"], cover=("day", REVIEW_DAYS)).select("sender", "message_id", "stratum")

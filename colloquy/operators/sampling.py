@@ -1,45 +1,81 @@
 """Samples for review: uniform, stratified, and around anchors; the same for a seed whatever the partitioning.
 
-Rows are ranked by a hash of seed and id. Picks differ from those of other random generators; sizes,
-coverage and repeatability are what counts.
+Rows are ranked by the MD5 of seed and id, which any other engine can repeat. Picks differ from those of
+other random generators; sizes, coverage and repeatability are what counts.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 20260914
 
 
-def _place(seed: int, key: str, *more: Column) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key), *more)
+def place(seed: int, *keys: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def uniform(rows: DataFrame, key: str, k: int = 100, seed: int = SEED) -> DataFrame:
-    return rows.withColumn("_place", _place(seed, key)).orderBy("_place", key).limit(k).drop("_place")
+    return rows.withColumn("_place", place(seed, key)).orderBy("_place", key).limit(k).drop("_place")
 
 
-def stratified(rows: DataFrame, key: str, strata: dict[str, Column], each: int, total: int, seed: int = SEED, by: list[str] | None = None, scarce_first: bool = False) -> DataFrame:
+def stratified(
+    rows: DataFrame, key: str, strata: dict[str, Column], each: int, total: int, seed: int = SEED, by: list[str] | None = None, scarce_first: bool = False, cover: tuple[str, int | None] | None = None, overlap: bool = False
+) -> DataFrame:
     """rows with stratum: up to each of every stratum in turn, then others (stratum rest) up to total; for each value of by, if given.
 
-    A row counts for the first stratum that picks it. With scarce_first the smallest stratum picks first.
+    A row counts for the first stratum that picks it. With scarce_first the smallest stratum picks first. cover
+    names a column and a number: one row of each of so many of its values (None: of all) comes first, as
+    stratum cover. With overlap a stratum picks among all its rows, those that others have picked included. Only the first rows of each stratum can be picked, so no task sees more than those.
     """
     parts = by or []
-    flagged = rows.withColumns({f"_in_{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(strata.values())} | {"_place": _place(seed, key), "_taken": F.lit(None).cast("string")})
-    names = list(enumerate(strata))
-    if scarce_first:
-        sizes = flagged.agg(*[F.count_if(F.col(f"_in_{i}")).alias(str(i)) for i, _ in names]).first()
-        names.sort(key=lambda x: (sizes[str(x[0])], x[0]))
-    for i, name in names:
-        free = F.col(f"_in_{i}") & F.col("_taken").isNull()
-        rank = F.row_number().over(Window.partitionBy(*parts, free).orderBy("_place", key))
-        used = F.count("_taken").over(Window.partitionBy(*parts))
-        flagged = flagged.withColumns({"_rank": rank, "_used": used, "_free": free}).withColumn("_taken", F.when(F.col("_free") & (F.col("_rank") <= F.least(F.lit(each), total - F.col("_used"))), F.lit(name)).otherwise(F.col("_taken")))
-    rest = F.row_number().over(Window.partitionBy(*parts, F.col("_taken").isNull()).orderBy("_place", key))
-    used = F.count("_taken").over(Window.partitionBy(*parts))
-    done = flagged.withColumns({"_rank": rest, "_used": used}).withColumn("stratum", F.coalesce("_taken", F.when(F.col("_rank") <= total - F.col("_used"), "rest")))
-    return done.where("stratum is not null").select(*rows.columns, "stratum")
+    names = list(strata)
+    marked = rows.withColumns({"_place": place(seed, key), "_key": F.col(key)})
+    first = None
+    if cover:
+        column, most = cover
+        values = marked.where(F.col(column).isNotNull()).groupBy(*parts, column).agg(F.min_by("_key", F.struct("_place", "_key")).alias("_first"))
+        if most is not None:
+            value_rank = F.row_number().over(Window.partitionBy(*parts).orderBy(place(seed, *parts, column), column))
+            values = values.withColumn("_v", value_rank).where(F.col("_v") <= most)
+        first = values.select(*parts, F.col("_first").alias("_key"))
+        marked = marked.join(first.select("_key"), "_key", "left_anti")
+    inside = [F.when(F.coalesce(c, F.lit(False)), i) for i, c in enumerate(strata.values())]
+    long = marked.select(*parts, "_key", "_place", F.explode(F.array_compact(F.array(*inside, F.lit(len(names))))).alias("_in"))
+    rank = F.row_number().over(Window.partitionBy(*parts, "_in").orderBy("_place", "_key"))
+    head = long.withColumn("_rank", rank).where(F.col("_rank") <= total + each).drop("_rank")
+    sizes = long.groupBy(*parts, "_in").agg(F.count("*").alias("_size"))
+    short = head.join(sizes, [*parts, "_in"])
+    if first is not None and parts:
+        short = short.join(first.groupBy(*parts).agg(F.count("*").alias("_used")), parts, "left")
+    elif first is not None:
+        short = short.crossJoin(F.broadcast(first.agg(F.count("*").alias("_used"))))
+    else:
+        short = short.withColumn("_used", F.lit(0))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in short.select(*parts, "_key").schema)
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        left, taken = total - int(group["_used"].fillna(0).iloc[0]), {}
+        pools = {i: g.sort_values(["_place", "_key"])["_key"].tolist() for i, g in group.groupby("_in")}
+        size = {i: int(g["_size"].iloc[0]) for i, g in group.groupby("_in")}
+        turn = sorted(range(len(names)), key=lambda i: (size.get(i, 0), i)) if scarce_first else list(range(len(names)))
+        for i in [*turn, len(names)]:
+            free = [k for k in pools.get(i, []) if k not in taken or (overlap and i < len(names))]
+            most = max(0, left - len(taken)) if i == len(names) else max(0, min(each, left - len(taken)))
+            for k in free[:most]:
+                taken.setdefault(k, names[i] if i < len(names) else "rest")
+        out = pd.DataFrame({"_key": list(taken), "stratum": list(taken.values())})
+        for p in parts:
+            out.insert(0, p, group[p].iloc[0])
+        return out[[*parts, "_key", "stratum"]]
+
+    keys = parts or ["_all"]
+    picked = short.withColumn("_all", F.lit(1)).groupBy(*keys).applyInPandas(pick, f"{types}, stratum string").select("_key", "stratum")
+    if first is not None:
+        picked = picked.union(first.select("_key", F.lit("cover")))
+    return rows.join(picked, F.col(key) == F.col("_key")).select(*rows.columns, "stratum")
 
 
 def around(rows: DataFrame, anchors: DataFrame, key: str = "row_idx", reach: int = 3) -> DataFrame:

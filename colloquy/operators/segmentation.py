@@ -8,10 +8,12 @@ goes through the state of every shorter one: it is read off on the way.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.operators.ordered import in_rows, in_time, nearest
 from colloquy.operators.profile import seconds
+from colloquy.operators.sampling import SEED, stratified
 
 THRESHOLDS = (10, 30, 60, 120)
 
@@ -19,10 +21,13 @@ THRESHOLDS = (10, 30, 60, 120)
 def weak_proposals(messages: DataFrame, found: DataFrame) -> DataFrame:
     """Neighbours in a topic, of one sender and different components: (topic, gap, a, b, row_a, row_b, component_a, component_b, size_a, size_b)."""
     rows = messages.select("message_id", "sender", "ts").join(found.where("topic is not null").select("message_id", "row_idx", "topic", "component", "component_size"), "message_id")
-    w = Window.partitionBy("topic").orderBy("row_idx")
-    prev = F.lag(F.struct("message_id", "sender", "ts", "row_idx", "component", "component_size")).over(w)
-    pairs = rows.withColumn("p", prev).where("p is not null and p.sender = sender and p.component <> component")
-    return pairs.select("topic", seconds(F.col("ts"), F.col("p.ts")).alias("gap"), F.col("p.message_id").alias("a"), F.col("message_id").alias("b"), F.col("p.row_idx").alias("row_a"), F.col("row_idx").alias("row_b"), F.col("p.component").alias("component_a"), F.col("component").alias("component_b"), F.col("p.component_size").alias("size_a"), F.col("component_size").alias("size_b"))
+    prev = F.struct("message_id", "sender", "ts", "row_idx", "component", "component_size")
+    pairs = nearest(rows, prev, "p", ["topic"], in_rows()).where("p is not null and p.sender = sender and p.component <> component")
+    return pairs.select(
+        "topic", seconds(F.col("ts"), F.col("p.ts")).alias("gap"), F.col("p.message_id").alias("a"), F.col("message_id").alias("b"),
+        F.col("p.row_idx").alias("row_a"), F.col("row_idx").alias("row_b"), F.col("p.component").alias("component_a"),
+        F.col("component").alias("component_b"), F.col("p.component_size").alias("size_a"), F.col("component_size").alias("size_b"),
+    )
 
 
 class Sets:
@@ -109,17 +114,33 @@ def conversations(messages: DataFrame, members: DataFrame, edges: DataFrame) ->
     return rolled.join(replies, ["threshold", "conversation_id"], "left").withColumns({"duration_seconds": seconds(F.col("end_ts"), F.col("start_ts")), "direct_reply_count": F.coalesce("direct_reply_count", F.lit(0)), "long_replies": F.coalesce("long_replies", F.lit(0))})
 
 
-def comparison(talks: DataFrame, decided: DataFrame) -> DataFrame:
-    """A row for each threshold, from its conversations and merge decisions."""
+def comparison(talks: DataFrame, decided: DataFrame, members: DataFrame, linked: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each threshold, from its conversations and merge decisions, its members, all rows with their parents, and ancestors."""
     n, d, m = F.col("message_count"), F.col("duration_seconds"), F.col("threshold") * 60
+    at = lambda c, q: F.percentile(c, F.lit(q))
     out = talks.groupBy("threshold").agg(
-        F.count("*").alias("conversations"), F.avg(n).alias("message_count_mean"), F.percentile(n, F.lit(0.5)).alias("message_count_median"), F.percentile(n, F.lit(0.9)).alias("message_count_p90"), F.max(n).alias("message_count_max"),
-        F.avg(d).alias("duration_seconds_mean"), F.percentile(d, F.lit(0.5)).alias("duration_seconds_median"), F.percentile(d, F.lit(0.9)).alias("duration_seconds_p90"), F.max(d).alias("duration_seconds_max"),
-        F.count_if(n == 1).alias("single_message_count"), (100 * F.count_if(n == 1) / F.count("*")).alias("single_message_percent"), F.count_if(n > 20).alias("over_20_messages"), F.count_if(n > 50).alias("over_50_messages"), F.count_if(n > 100).alias("over_100_messages"),
-        F.sum("direct_reply_count").alias("direct_replies"), F.sum("long_replies").alias("direct_reply_edges_over_threshold"), F.count_if(F.col("max_internal_gap_seconds") > m).alias("conversations_with_gap_over_threshold"),
+        F.count("*").alias("conversations"), F.avg(n).alias("message_count_mean"), at(n, 0.5).alias("message_count_median"),
+        at(n, 0.9).alias("message_count_p90"), F.max(n).alias("message_count_max"), F.avg(d).alias("duration_seconds_mean"),
+        at(d, 0.5).alias("duration_seconds_median"), at(d, 0.9).alias("duration_seconds_p90"), F.max(d).alias("duration_seconds_max"),
+        F.count_if(n == 1).alias("single_message_count"), (100 * F.count_if(n == 1) / F.count("*")).alias("single_message_percent"),
+        F.count_if(n > 20).alias("over_20_messages"), F.count_if(n > 50).alias("over_50_messages"), F.count_if(n > 100).alias("over_100_messages"),
+        F.sum("direct_reply_count").alias("direct_replies"), F.sum("long_replies").alias("direct_reply_edges_over_threshold"),
+        F.count_if(F.col("max_internal_gap_seconds") > m).alias("conversations_with_gap_over_threshold"),
+    )
+    merges = decided.groupBy("threshold").agg(F.count_if(F.col("kind") == "accepted").alias("accepted_weak_links"), F.count_if(F.col("kind") == "blocked").alias("blocked_weak_links"))
+    sent = (F.col("message_type") == "message") & F.col("reply_to").isNotNull()
+    replies = linked.agg(
+        F.count_if(F.col("message_type") == "service").alias("system_event_records"), F.count_if(sent & (F.col("parent_type") == "message")).alias("resolved_normal_direct_reply_count"),
+        F.count_if(sent & (F.col("parent_type") == "service")).alias("topic_or_service_links"), F.count_if(sent & F.col("parent_id").isNull()).alias("unresolved_direct_reply_count"),
     )
-    links = decided.groupBy("threshold").agg(F.count_if(F.col("kind") == "accepted").alias("accepted_weak_links"), F.count_if(F.col("kind") == "blocked").alias("blocked_weak_links"))
-    return out.join(links, "threshold", "left").fillna(0, ["accepted_weak_links", "blocked_weak_links"])
+    edges = linked.where("message_type = 'message' and parent_type = 'message'").select(F.col("parent_id").alias("parent"), F.col("message_id").alias("child"))
+    where = members.select("threshold", "conversation_id", "message_id")
+    ends = edges.join(where.select("threshold", F.col("message_id").alias("parent"), F.col("conversation_id").alias("a")), "parent").join(where.withColumnRenamed("message_id", "child"), ["threshold", "child"])
+    broken = ends.where("a <> conversation_id").groupBy("threshold").agg(F.count("*").alias("broken_direct_reply_count"))
+    held = members.join(found.select("message_id", "component_size"), "message_id").groupBy("threshold", "conversation_id").agg(F.countDistinct("topic").alias("topics"), F.countDistinct(F.when(F.col("component_size") > 1, F.col("component"))).alias("trees"))
+    faults = held.groupBy("threshold").agg(F.count_if(F.col("topics") > 1).alias("multi_topic_conversations"), F.count_if(F.col("trees") > 1).alias("conversations_merging_multiple_nontrivial_reply_chains"))
+    full = out.join(merges, "threshold", "left").join(broken, "threshold", "left").join(faults, "threshold").crossJoin(F.broadcast(replies))
+    return full.fillna(0, ["accepted_weak_links", "blocked_weak_links", "broken_direct_reply_count"]).withColumn("total_output_records", F.col("conversations") + F.col("system_event_records"))
 
 
 def sender_count_distribution(talks: DataFrame) -> DataFrame:
@@ -127,11 +148,19 @@ def sender_count_distribution(talks: DataFrame) -> DataFrame:
 
 
 def stability(members: DataFrame) -> DataFrame:
-    """(threshold, next_threshold, messages, unchanged): messages whose conversation keeps its size, hence its members, at the next threshold."""
-    sizes = members.withColumn("size", F.count("*").over(Window.partitionBy("threshold", "conversation_id")))
+    """(threshold, next_threshold, messages, unchanged, changed, unchanged_percent, conversation_count_change).
+
+    A message is unchanged whose conversation keeps its size, hence its members, at the next threshold.
+    """
+    sizes = members.groupBy("threshold", "conversation_id").agg(F.count("*").alias("size"))
+    sized = members.select("threshold", "conversation_id", "message_id").join(sizes, ["threshold", "conversation_id"])
     w = Window.partitionBy("message_id").orderBy("threshold")
-    steps = sizes.select("threshold", F.lead("threshold").over(w).alias("next_threshold"), (F.col("size") == F.lead("size").over(w)).alias("same")).where("next_threshold is not null")
-    return steps.groupBy("threshold", "next_threshold").agg(F.count("*").alias("messages"), F.count_if("same").alias("unchanged"))
+    steps = sized.select("threshold", F.lead("threshold").over(w).alias("next_threshold"), (F.col("size") == F.lead("size").over(w)).alias("same")).where("next_threshold is not null")
+    counts = sizes.groupBy("threshold").agg(F.count("*").alias("n"))
+    rolled = steps.groupBy("threshold", "next_threshold").agg(F.count("*").alias("messages"), F.count_if("same").alias("unchanged"))
+    both = rolled.join(counts, "threshold").join(counts.select(F.col("threshold").alias("next_threshold"), F.col("n").alias("next_n")), "next_threshold")
+    changed = F.col("messages") - F.col("unchanged")
+    return both.select("threshold", "next_threshold", "messages", "unchanged", changed.alias("changed"), (100 * F.col("unchanged") / F.col("messages")).alias("unchanged_percent"), (F.col("next_n") - F.col("n")).alias("conversation_count_change"))
 
 
 def long_distance_replies(edges: DataFrame, over: int = 86400) -> DataFrame:
@@ -141,9 +170,28 @@ def long_distance_replies(edges: DataFrame, over: int = 86400) -> DataFrame:
 def topic_neighbours(messages: DataFrame, found: DataFrame) -> DataFrame:
     """Each message of a known topic with the ones before and after it there, by time and then row."""
     rows = messages.select("message_id", "sender", "ts", "reply_to").join(found.where("topic is not null").select("message_id", "row_idx", "topic"), "message_id")
-    w = Window.partitionBy("topic").orderBy("ts", "row_idx")
-    named = {}
-    for side, step in (("previous", F.lag), ("next", F.lead)):
-        named |= {f"{side}_id": step("message_id").over(w), f"{side}_sender": step("sender").over(w), f"{side}_ts": step("ts").over(w), f"{side}_reply_to": step("reply_to").over(w)}
-    near = rows.withColumns(named)
+    there = F.struct("message_id", "sender", "ts", "reply_to")
+    near = nearest(nearest(rows, there, "_p", ["topic"], in_time()), there, "_n", ["topic"], in_time(), later=True)
+    named = {f"{side}_{new}": F.col(f"{at}.{old}") for side, at in (("previous", "_p"), ("next", "_n")) for new, old in (("id", "message_id"), ("sender", "sender"), ("ts", "ts"), ("reply_to", "reply_to"))}
+    near = near.withColumns(named).drop("_p", "_n")
     return near.withColumns({"gap_previous": seconds(F.col("ts"), F.col("previous_ts")), "gap_next": seconds(F.col("next_ts"), F.col("ts"))})
+
+
+#: Candidates of a threshold that a review should see (fixed values: names and sizes of the strata).
+REVIEW_EACH, REVIEW_TOTAL = 7, 50
+
+
+def review_strata(talks: DataFrame) -> dict[str, Column]:
+    """Strata of the review sample; the long spans are the top tenth of those longer than 0."""
+    n = F.col("message_count")
+    cut = talks.where("duration_seconds > 0").agg(F.percentile("duration_seconds", F.lit(0.9)).alias("cut")).first()["cut"]
+    return {
+        "short_1_2_messages": n <= 2, "medium_3_10_messages": n.between(3, 10), "long_11plus_messages": n >= 11, "multi_sender": F.col("sender_count") >= 2,
+        "direct_reply": F.col("direct_reply_count") > 0, "large_time_span": F.lit(False) if cut is None else F.col("duration_seconds") >= cut,
+    }
+
+
+def review_sample(talks: DataFrame, threshold: int, seed: int = SEED) -> DataFrame:
+    """(conversation_id, stratum): up to 50 conversations of a threshold, 7 of each stratum first."""
+    some = talks.where(F.col("threshold") == threshold)
+    return stratified(some, "conversation_id", review_strata(some), REVIEW_EACH, REVIEW_TOTAL, seed + threshold).select("conversation_id", "stratum")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.operators.graph import parents
 from colloquy.operators.profile import filled, seconds
+from colloquy.operators.sampling import SEED, stratified
 from colloquy.operators.segmentation import topic_neighbours
 
 CLASSES = ["STRUCTURALLY_ISOLATED", "POSSIBLE_PREVIOUS", "POSSIBLE_NEXT", "POSSIBLE_BOTH", "LONG_DISTANCE_REPLY", "UNKNOWN"]
@@ -21,7 +22,8 @@ def singles(messages: DataFrame, found: DataFrame, members: DataFrame, threshold
     a neighbour. The first class that fits is given: a reply over a day, an unknown topic or lost target,
     then a close or replying neighbour before, after, or on both sides.
     """
-    alone = members.where(F.col("threshold") == threshold).withColumn("size", F.count("*").over(Window.partitionBy("conversation_id"))).where("size = 1").select("conversation_id", "message_id", "topic")
+    alone = members.where(F.col("threshold") == threshold).groupBy("conversation_id").agg(F.count("*").alias("size"), F.min("message_id").alias("message_id"), F.min("topic").alias("topic"))
+    alone = alone.where("size = 1").drop("size")
     linked = parents(messages).select("message_id", "sender", "ts", "reply_to", "parent_id", "parent_type", "parent_ts")
     target = linked.select(F.col("message_id").alias("_of"), F.col("parent_id").alias("_target"))
     near = topic_neighbours(messages, found).select("message_id", "previous_id", "previous_sender", "gap_previous", "next_id", "next_sender", "gap_next")
@@ -99,6 +101,43 @@ def no_neighbour(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(p).alias("no_previous"), F.count_if(n).alias("no_next"), F.count_if(p & n).alias("neither"), F.count_if(p & n & F.col("topic").isNull()).alias("neither_unknown_topic"))
 
 
-def long_reply_stats(found: DataFrame) -> DataFrame:
+def long_reply_stats(found: DataFrame, over: int = 86400) -> DataFrame:
     g = F.col("reply_target_gap_seconds")
-    return found.where(g > 86400).agg(F.count("*").alias("n"), F.percentile(g, F.lit(0.5)).alias("median_seconds"), F.max(g).alias("max_seconds"))
+    return found.where(g > over).agg(F.count("*").alias("n"), F.percentile(g, F.lit(0.5)).alias("median_seconds"), F.max(g).alias("max_seconds"))
+
+
+#: Rows of each stratum, and rows in all, of the review sample (fixed values).
+REVIEW_EACH, REVIEW_TOTAL = 12, 150
+
+
+def review_sample(found: DataFrame, seed: int = SEED) -> DataFrame:
+    """(message_id, stratum): one single of each topic, then up to 12 of each of ten strata, then others up to 150."""
+    p, n = F.col("gap_previous"), F.col("gap_next")
+    both = lambda s: F.coalesce((p < s) & (n < s), F.lit(False))
+    strata = {
+        "both_sides_under_5m": both(300), "both_sides_5_to_10m": both(600) & ~both(300), "both_sides_10_to_30m": both(1800) & ~both(600),
+        "same_sender": F.coalesce("same_sender_previous", F.lit(False)) | F.coalesce("same_sender_next", F.lit(False)),
+        "different_sender": F.coalesce(~F.col("same_sender_previous"), F.lit(False)) | F.coalesce(~F.col("same_sender_next"), F.lit(False)),
+        "normal_direct_reply_related": (F.col("reply_target_type") == "message") | (F.col("incoming") > 0), "system_reply_reference_only": F.col("reply_target_type") == "service",
+        "no_reply": F.col("reply_to").isNull(), "large_gap_over_24h": F.coalesce(p > 86400, F.lit(False)) | F.coalesce(n > 86400, F.lit(False)), "unknown_topic": F.col("topic").isNull(),
+    }
+    return stratified(found, "message_id", strata, REVIEW_EACH, REVIEW_TOTAL, seed, cover=("topic", None)).select("message_id", "stratum")
+
+
+def overview(found: DataFrame) -> DataFrame:
+    """One row: singles, those of known and unknown topic, reply targets by kind, and those tied to a neighbour by a reply."""
+    kind = lambda k: F.count_if(F.col("reply_target_type") == k).alias(f"reply_target_{k}")
+    tied = F.greatest(*[F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("replies_to_previous", "previous_replies", "replies_to_next", "next_replies")]) == 1
+    known = F.col("topic").isNotNull()
+    return found.agg(F.count("*").alias("singles"), F.count_if(known).alias("known_topic"), F.count_if(~known).alias("unknown_topic"), *[kind(k) for k in ("none", "missing", "service", "message")], F.count_if(tied).alias("direct_relationship_with_neighbour"), F.count_if(known & F.col("previous_id").isNull()).alias("first_of_topic"), F.count_if(known & F.col("next_id").isNull()).alias("last_of_topic"))
+
+
+def long_distance(messages: DataFrame, found: DataFrame, members: DataFrame, over: int = 86400) -> DataFrame:
+    """A row for each reply of an ordinary message to one over a day older: both ends, gap, topic, and their conversations."""
+    linked = parents(messages).where("message_type = 'message' and parent_type = 'message'")
+    gap = seconds(F.col("ts"), F.col("parent_ts"))
+    some = linked.withColumn("gap_seconds", gap).where(F.col("gap_seconds") > over)
+    where = members.select("message_id", "conversation_id")
+    target = where.select(F.col("message_id").alias("parent_id"), F.col("conversation_id").alias("target_conversation_id"))
+    full = some.join(where, "message_id").join(target, "parent_id").join(found.select("message_id", "topic"), "message_id")
+    return full.select("message_id", "ts", "sender", "topic", "reply_to", F.col("parent_ts").alias("target_ts"), F.col("parent_sender").alias("target_sender"), "gap_seconds", (F.col("gap_seconds") / 3600).alias("gap_hours"), (F.col("gap_seconds") / 86400).alias("gap_days"), "conversation_id", "target_conversation_id", (F.col("conversation_id") == F.col("target_conversation_id")).alias("same_candidate"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,20 +80,20 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def write_json(value: dict | list, path: str) -> None:
     """A report, moved into place when it is complete."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path + ".tmp", "w", encoding="utf-8") as f:
         json.dump(value, f, ensure_ascii=False, indent=2, default=str)
     os.replace(path + ".tmp", path)
 
 
-def write_markdown(title: str, tables: dict[str, DataFrame], path: str, most: int = 200) -> None:
-    """A report of small tables, each cut off after so many rows with a note that it is."""
-    lines = [f"# {title}", ""]
-    for name, df in tables.items():
-        rows = flat(df).limit(most + 1).collect()
-        lines += [f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        lines += ["| " + " | ".join(str("" if v is None else v).replace("|", "\\|").replace("\n", " ") for v in r) + " |" for r in rows[:most]]
-        lines += [f"(more than {most} rows)"] * (len(rows) > most) + [""]
-    Path(path).write_text("\n".join(lines), encoding="utf-8")
+def write_markdown(title: str, tables: dict[str, DataFrame], path: str) -> None:
+    """A report of tables, each with all its rows."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"# {title}\n")
+        for name, df in tables.items():
+            f.write(f"\n## {name}\n\n| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n")
+            for r in flat(df).toLocalIterator():
+                f.write("| " + " | ".join(str("" if v is None else v).replace("|", "\\|").replace("\n", " ") for v in r) + " |\n")
 
 
 def unannotated(existing: DataFrame) -> None:
@@ -99,6 +102,27 @@ def unannotated(existing: DataFrame) -> None:
         raise ValueError("the annotation has been filled in; it is not overwritten")
 
 
+def unticked(path: str) -> None:
+    """ValueError if people have ticked anything in a review."""
+    if os.path.exists(path) and re.search(r"\[[xX]\]", Path(path).read_text(encoding="utf-8")):
+        raise ValueError("the review has ticks; it is not overwritten")
+
+
+def listing(spark: SparkSession, path: str) -> dict[str, tuple]:
+    """Length and time of change of each file of a path; cheap whatever their size, as no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return {r["path"]: (r["length"], r["modificationTime"]) for r in files.select("path", "length", "modificationTime").collect()}
+
+
+@contextmanager
+def only_read(spark: SparkSession, *paths: str) -> Iterator[None]:
+    """RuntimeError if the files of the paths are not the same afterwards."""
+    before = [listing(spark, p) for p in paths]
+    yield
+    if [listing(spark, p) for p in paths] != before:
+        raise RuntimeError("the input changed meanwhile")
+
+
 def manifest(spark: SparkSession, path: str) -> dict[str, str]:
     """sha256 of each file below a folder, for comparing before and after."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -110,4 +134,4 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-__all__ = ["flat", "manifest", "outside", "preprocess", "read_mapping", "read_messages", "same_rows", "unannotated", "write_csv", "write_csv_folder", "write_json", "write_markdown"]
+__all__ = ["flat", "listing", "manifest", "only_read", "outside", "preprocess", "read_mapping", "read_messages", "same_rows", "unannotated", "unticked", "write_csv", "write_csv_folder", "write_json", "write_markdown"]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
@@ -30,13 +29,18 @@ def shaped(df: DataFrame) -> DataFrame:
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of a JSON Lines file or folder; rows without row_idx are numbered in file order.
+    """Messages of a JSON Lines file or folder; rows without row_idx are numbered by file name, then line.
 
     Blank lines are no rows. A U+2028 or U+0085 within a text does not end a line.
     """
-    raw = spark.read.schema(MESSAGE).json(path).where(F.col("message_id").isNotNull())
-    numbered = raw.withColumn("row_idx", F.coalesce("row_idx", F.monotonically_increasing_id()))
-    return numbered.withColumns({"ts": F.coalesce("ts", F.to_timestamp("datetime")), "utc_offset_s": F.coalesce("utc_offset_s", offset_seconds(F.col("datetime")))})
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+    raw = spark.read.schema(MESSAGE).json(path).select("*", *place).where(F.col("message_id").isNotNull())
+    # Spark reads large splits first, so its own numbers do not follow the files: a split's rows come after those of the splits before it
+    sizes = raw.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
+    skip = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
+    nth = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_line")) - 1
+    numbered = raw.withColumn("_nth", nth).join(skip, ["_file", "_block"]).withColumn("row_idx", F.coalesce("row_idx", (F.col("_skip") + F.col("_nth")).cast("long")))
+    return numbered.select(*MESSAGE.fieldNames()).withColumns({"ts": F.coalesce("ts", F.to_timestamp("datetime")), "utc_offset_s": F.coalesce("utc_offset_s", offset_seconds(F.col("datetime")))})
 
 
 def offset_seconds(iso: F.Column) -> F.Column:
@@ -45,11 +49,23 @@ def offset_seconds(iso: F.Column) -> F.Column:
     return F.when(part(1) != "", F.when(part(1) == "-", -1).otherwise(1) * (part(2).cast("int") * 3600 + part(3).cast("int") * 60))
 
 
+def replaced(df: DataFrame, path: str) -> None:
+    """Writes df as JSON Lines beside path and then puts it in path's place, so that an old output stays until the new one is whole."""
+    spark, new = df.sparkSession, path.rstrip("/") + "-unfinished"
+    df.write.mode("overwrite").json(new)
+    jvm = spark.sparkContext._jvm
+    at, to = (jvm.org.apache.hadoop.fs.Path(x) for x in (new, path))
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(to, True)
+    if not fs.rename(at, to):
+        raise OSError(f"{new} could not be moved to {path}")
+
+
 def write_messages(messages: DataFrame, path: str, errors: DataFrame | None = None) -> bool:
-    """Writes JSON Lines, whole or not at all (Spark's commit protocol); nothing if there are errors."""
+    """Writes JSON Lines, whole or not at all; nothing if there are errors."""
     if errors is not None and not errors.isEmpty():
         return False
-    messages.write.mode("overwrite").json(path)
+    replaced(messages, path)
     return True
 
 
@@ -102,3 +118,32 @@ def messages_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_roles(messages: DataFrame) -> DataFrame:
     """A role mapping for messages_from_conversations: assistants are AGENT, users USER."""
     return messages.where("message_type = 'message'").select("sender").distinct().withColumn("role", F.when(F.col("sender").startswith("assistant"), "AGENT").otherwise("USER"))
+
+
+#: Texts that rows of messages_with_faults have instead of their own, by row_idx % 20 (Spark and DuckDB read them alike).
+FAULT_TEXTS = {
+    3: "''", 4: "''", 5: "'   '", 7: "concat(text, ' https://example.org/a?b=1 請問')", 9: "concat('✅ ', text)", 11: "concat('  ⚠ ', text, chr(10), 'state: done')",
+    13: "concat('Order ', cast(row_idx as varchar(9)), ' is late?')", 15: "'ask ann@example.com or 10.0.0.7'", 17: "'see www.example.org/x? now'", 18: "concat('步驟：', text)", 19: "concat(text, '？')",
+}
+
+
+def messages_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages_from_events with planted faults: repeated ids, a second file and offset, times that go back, blank
+    and marked texts, attachments. Which rows have which follows from row_idx alone."""
+    rows = messages_from_events(spark, sf_dir)
+    normal, i = F.col("message_type") == "message", F.col("row_idx")
+    text = F.expr("CASE row_idx % 20 " + " ".join(f"WHEN {k} THEN {v}" for k, v in FAULT_TEXTS.items()) + " ELSE text END")
+    item = lambda kind, path: F.struct(F.lit(kind).alias("type"), F.lit(path).alias("path"), *[F.lit(None).cast(t).alias(n) for n, t in (("title", "string"), ("html_class", "string"), ("reference_exists", "boolean"), ("local_exists", "boolean"), ("availability", "string"))])
+    one, two = F.array(item("photo", "photos/a.JPG")), F.array(item("photo", "photos/b.jpg"), item("file", "files/c.tar.gz"))
+    attachments = F.when(normal & (i % 10 == 3), one).when(normal & (i % 10 == 4), two)
+    return rows.withColumns(
+        {
+            "message_id": F.when(i % 97 == 13, (i - 1).cast("string")).otherwise(F.col("message_id")),
+            "source_file": F.when(i % 89 == 2, F.lit("other")).otherwise(F.col("source_file")),
+            "ts": F.when(i % 101 == 7, F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts")),
+            "utc_offset_s": F.when(normal & (i % 50 == 3), F.lit(7200)).otherwise(F.col("utc_offset_s")),
+            "text": F.when(normal, text).otherwise(F.col("text")),
+            "attachments": attachments,
+            "attachment_type": F.when(normal & (i % 10 == 3), F.lit("photo")).when(normal & (i % 10 == 4), F.lit("multiple")),
+        }
+    )
