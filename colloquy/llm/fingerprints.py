@@ -43,10 +43,11 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
                 w = np.ones(len(terms), np.float32)
             else:
                 continue
-            bits = np.unpackbits(np.stack([terms, mix(terms + U(0x5851F42D4C957F2D))], 1).view(np.uint8), axis=1)
             votes = np.zeros(BITS, np.float64)
-            for lo in range(0, len(terms), 1 << 14):
-                votes += w[lo : lo + (1 << 14)] @ bits[lo : lo + (1 << 14)].astype(np.float32)
+            for lo in range(0, len(terms), 1 << 14):  # the bits of so many terms at once
+                some = terms[lo : lo + (1 << 14)]
+                bits = np.unpackbits(np.stack([some, mix(some + U(0x5851F42D4C957F2D))], 1).view(np.uint8), axis=1)
+                votes += w[lo : lo + (1 << 14)] @ bits.astype(np.float32)
             out[k] = np.packbits(votes * 2 > w.sum(dtype=np.float64))
     return out
 
@@ -77,11 +78,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # a few hundred bounds: as many as twice the shuffle partitions, whatever the input
     place = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
     docs = docs.withColumn("part", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(place))
-    heads = {r["part"]: r["head"] for r in docs.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
+    # a part's first row has its greatest id, and of these the least text, which a hash stands for
+    first = F.min_by(F.xxhash64("text"), F.struct(-F.col("doc_id"), "text"))
+    heads = {r["part"]: (r["head"], r["mark"]) for r in docs.groupBy("part").agg(F.max("doc_id").alias("head"), first.alias("mark")).collect()}
     order = sorted(heads)
-    carry = [(order[i - 1], heads[p], p) for i, p in enumerate(order)]  # the head of part p follows the last row of the part before
-    extra = spark.createDataFrame(carry or [(0, 0, -1)], "to int, head long, part int")
-    moved = docs.join(F.broadcast(extra), (docs["part"] == extra["part"]) & docs["doc_id"].eqNullSafe(extra["head"])).select(docs["doc_id"], "text", extra["to"].alias("part"), F.lit(1).alias("carried"))
+    carry = [(order[i - 1], *heads[p], p) for i, p in enumerate(order)]  # the head of part p follows the last row of the part before
+    extra = spark.createDataFrame(carry or [(0, 0, 0, -1)], "to int, head long, mark long, part int")
+    head = (docs["part"] == extra["part"]) & docs["doc_id"].eqNullSafe(extra["head"]) & (F.xxhash64(docs["text"]) == extra["mark"])
+    moved = docs.join(F.broadcast(extra), head).select(docs["doc_id"], "text", extra["to"].alias("part"), F.lit(1).alias("carried"))
     rows = docs.withColumn("carried", F.lit(0)).unionByName(moved).repartition(n, "part").sortWithinPartitions("part", "carried", F.desc_nulls_last("doc_id"), "text")
 
     def run(batches):

@@ -10,6 +10,7 @@ never part of an article (menus, forms, scripts, comments) go by their tag, role
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -26,6 +27,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NEVER = set("script style noscript template head title nav footer aside form button select textarea input iframe object svg canvas menu dialog audio video".split())
 CLOSED_BY = {"p": BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Elements within which an open element of the kinds above is another's.
+SCOPES = set("table ul ol dl menu select object template button".split())
 #: Words in a class, id, role or label that mark what is not the article, and what is.
 _BOILER = re.compile(r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|related|recommended|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|tags|toolbar|widget|complementary|contentinfo|search|alert|legal|login|signup)$", re.I)
 #: Words that may stand beside these in one name (site-footer, share-buttons); any other, as in has-sidebar, makes it another name.
@@ -50,6 +53,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # tag, zone
+        self.count: Counter[str] = Counter()
         self.blocks: list[tuple[int, str]] = []
         self.text: list[str] = []
         self.zone = 1
@@ -66,8 +70,8 @@ class Blocks(HTMLParser):
         elif tag == "br":
             self.text.append(" ")
         for open_tag, closers in CLOSED_BY.items():
-            if tag in closers and any(t == open_tag for t, _ in self.stack[-6:]):
-                self.close(open_tag, limit=6)
+            if tag in closers and self.count[open_tag]:
+                self.close(open_tag)
         if tag in VOID:
             return
         zone = self.zone
@@ -87,6 +91,7 @@ class Blocks(HTMLParser):
         if zone != self.zone:
             self.flush()
         self.stack.append((tag, self.zone))
+        self.count[tag] += 1
         self.zone = zone
 
     def handle_startendtag(self, tag, attrs):
@@ -95,26 +100,32 @@ class Blocks(HTMLParser):
         elif tag == "br":
             self.text.append(" ")
 
-    def close(self, tag: str, limit: int | None = None) -> None:
-        low = 0 if limit is None else max(0, len(self.stack) - limit)
-        at = next((i for i in range(len(self.stack) - 1, low - 1, -1) if self.stack[i][0] == tag), None)
-        if at is not None:
-            self.flush()
-            self.zone = self.stack[at][1]
-            del self.stack[at:]
+    def close(self, tag: str) -> None:
+        """Ends the innermost open element of a tag, unless one that holds its like (a list, a table) is open within it."""
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] == tag:
+                self.flush()
+                self.leave(at)
+                return
+            if self.stack[at][0] in SCOPES:
+                return
+
+    def leave(self, at: int) -> None:
+        self.zone = self.stack[at][1]
+        self.count.subtract(t for t, _ in self.stack[at:])
+        del self.stack[at:]
 
     def handle_endtag(self, tag):
         if tag in VOID:
             return
         if tag in BLOCK:
             self.flush()
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None) if self.count[tag] else None
         if at is None or (tag not in BLOCK and tag not in NEVER and any(t in BLOCK for t, _ in self.stack[at + 1 :])):
             return  # a stray end, or one of an inline element that a block was left open in
         if self.stack[at][1] != self.zone:
             self.flush()
-        self.zone = self.stack[at][1]
-        del self.stack[at:]
+        self.leave(at)
 
     def handle_data(self, data):
         if self.zone:
@@ -187,11 +198,9 @@ def _place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-_KEYS = "row long, host string, path string, lines binary"
-
-
-def keys(pages: DataFrame) -> DataFrame:
-    """(row, host, path, lines): the place of each page, and hashes of its visible lines."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, row, host, path, lines (hashes of the visible lines), z (the blocks, compressed): each page is parsed once."""
+    kind = dict(pages.dtypes)["page_id"]
 
     def run(batches):
         for batch in batches:
@@ -199,12 +208,13 @@ def keys(pages: DataFrame) -> DataFrame:
                 some = batch.slice(lo, SPAN)
                 out = []
                 for url, html in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
-                    host, path = _place(url)
-                    lines = np.array([xxhash.xxh64_intdigest(t) for _, t in blocks(html)], np.uint64)
-                    out.append((host, path, lines.tobytes()))
-                yield pa.RecordBatch.from_arrays([some.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.binary()))]], ["row", "host", "path", "lines"])
+                    found = blocks(html)
+                    lines = np.array([xxhash.xxh64_intdigest(t) for _, t in found], np.uint64)
+                    out.append((*_place(url), lines.tobytes(), squeeze("\x00".join(f"{zone}{t}" for zone, t in found).encode("utf-8", "replace"))))
+                made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), *made], ["page_id", "url", "row", "host", "path", "lines", "z"])
 
-    return pages.select("row", "url", "html").mapInArrow(run, _KEYS)
+    return pages.select("page_id", "url", "html", "row").mapInArrow(run, f"page_id {kind}, url string, row long, host string, path string, lines binary, z binary")
 
 
 def neighbours(places: DataFrame) -> DataFrame:
@@ -238,19 +248,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     ready(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    places = checkpoint(keys(pages)).dropDuplicates(["row"])
+    read = checkpoint(parsed(pages))
+    kind = dict(pages.dtypes)["page_id"]
+    places = read.select("row", "host", "path", "lines").dropDuplicates(["row"])
     beside = checkpoint(neighbours(places))
     asked = beside.join(places.where(F.length("lines") > 0).select("row"), "row", "left_semi").where(F.size("other") > 0)
-
-    def pack(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SPAN):
-                some = batch.slice(lo, SPAN)
-                z = [squeeze("\x00".join(f"{zone}{t}" for zone, t in blocks(h)).encode("utf-8", "replace")) for h in some.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), pa.array(z, pa.binary())], ["page_id", "url", "row", "z"])
-
-    kind = dict(pages.dtypes)["page_id"]
-    read = pages.mapInArrow(pack, f"page_id {kind}, url string, row long, z binary").join(asked, "row", "left")
+    read = read.select("page_id", "url", "row", "z").join(asked, "row", "left")
 
     def run(batches):
         for batch in batches:

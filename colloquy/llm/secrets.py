@@ -23,10 +23,10 @@ from colloquy.llm._shared import ready, table
 #: Trees, their depth, labelled findings, and the share of votes from which a candidate is a secret.
 TREES, DEPTH, FINDINGS, THRESHOLD = 15, 5, 3000, 0.5
 MASK = "[secret]"
-#: Candidates: an assigned value of 8 or more characters, or a run of 16 or more with a digit near its start.
+#: Candidates: an assigned value of 8 or more characters, or a run of 16 or more with a digit anywhere.
 CANDIDATE = (
     r"(?<![A-Za-z0-9+/_\-])(?:(?<=[:=][\"' ]{0,2})(?<=(?i:key|token|secret|passwd|password|pwd|auth)[\"' ]{0,2}[:=][\"' ]{0,2})[A-Za-z0-9+/_\-.!@#$%^&*]{8,}"
-    r"|(?=[A-Za-z+/_\-]{0,40}[0-9])[A-Za-z0-9+/_\-]{16,})={0,2}"
+    r"|(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,})={0,2}"
 )
 #: Common words of identifiers and file names (fixed values).
 DICTIONARY = (
@@ -71,16 +71,34 @@ def _features(c: Column, before: Column, after: Column) -> list[Column]:
     ]
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<value, start, features...>> of a text; start counts from 0 in code points. Null or empty texts have none."""
+def let(value: Column, body) -> Column:
+    """body of value, which is computed once: an expression that a lambda uses is computed anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _cut(text: Column) -> Column:
+    """A text's candidates, and what lies between them; null where there are none."""
     text = F.coalesce(text, F.lit(""))
     values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    between = F.split(text, CANDIDATE, -1)
-    seen = F.transform(values, lambda c, i: F.struct(c.alias("value"), F.substring(F.get(between, i), -48, 48).alias("before"), F.substring(F.get(between, i + 1), 1, 24).alias("after")))
-    # the text up to a candidate is what lies between the earlier ones, and these
-    starts = lambda i: (F.length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(values, F.lit(1), i), ""))).cast("long")
-    full = lambda x, i: F.struct(x["value"].alias("value"), starts(i).alias("start"), *[f.alias(name) for name, f in zip(FEATURES, _features(x["value"], x["before"], x["after"]))])
-    return F.when(F.size(values) > 0, F.transform(seen, full))
+    return F.when(text.rlike(CANDIDATE), F.struct(values.alias("values"), F.split(text, CANDIDATE, -1).alias("between")))
+
+
+def _read_cut(cut: Column) -> Column:
+    """array<struct<value, at, features...>> of a cut; at is the candidate's place among the candidates."""
+    seen = F.transform(cut["values"], lambda c, i: F.struct(c.alias("value"), i.alias("at"), F.substring(F.get(cut["between"], i), -48, 48).alias("before"), F.substring(F.get(cut["between"], i + 1), 1, 24).alias("after")))
+    full = lambda x: F.struct(x["value"].alias("value"), x["at"].alias("at"), *[f.alias(name) for name, f in zip(FEATURES, _features(x["value"], x["before"], x["after"]))])
+    return F.transform(seen, full)
+
+
+def _start(cut: Column, at: Column) -> Column:
+    """Where a candidate begins, from 0 in code points: after what lies between the earlier ones, and these."""
+    steps = F.transform(F.slice(cut["between"], F.lit(1), at + 1), lambda x, j: F.length(x) + F.when(j < at, F.length(F.get(cut["values"], j))).otherwise(0))
+    return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, n: acc + n)
+
+
+def candidates(text: Column) -> Column:
+    """array<struct<value, at, features...>> of a text; null for texts without any, null or empty."""
+    return let(_cut(text), lambda cut: F.when(cut.isNotNull(), _read_cut(cut)))
 
 
 def labelled(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int]]:
@@ -89,7 +107,7 @@ def labelled(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int]]:
     hexa, b64, alnum = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
     s = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     with_digit = lambda chars, k: s(chars, k - 3) + s(string.digits, 1) + s(chars, 2)
-    prose = lambda: " ".join(r.choice(["the", "of", "and", "der", "que", "les", "anea", "thontion", "einver", "mentaux", "ciones"]) for _ in range(r.randint(1, 4)))
+    prose = lambda: " ".join(r.choice(["the", "of", "and", "der", "que", "les", "about", "where", "nicht", "pour", "para"]) for _ in range(r.randint(1, 4)))
     names = ["token", "secret", "api_key", "apikey", "password", "passwd", "client_secret", "auth_token", "access_key", "SECRET_KEY", "Authorization: Bearer", "credential"]
     out = []
     for _ in range(n):
@@ -114,7 +132,7 @@ def labelled(n: int = FINDINGS, seed: int = 11) -> list[tuple[str, int]]:
                 lambda: f"{prose()} token = {r.choice(['example', 'changeme', 'placeholder', 'your_token_here', 'undefined'])} {prose()}",
                 lambda: f"{prose()} key: {'-'.join(words(3))} {prose()}",
                 lambda: f"{prose()} {r.choice(['order', 'invoice', 'tracking', 'serial', 'version'])} {s(string.ascii_uppercase + string.digits, 8)}{s(string.digits, 10)} {prose()}",
-                lambda: f"{prose()} {s(['anea', 'thon'][0], 9)}{s('etaoinshr', 9)}{r.randint(1, 9)} {prose()}",
+                lambda: f"{prose()} {s('etaoinshr', 18)}{r.randint(1, 9)} {prose()}",
             ])()
             out.append((text, 0))
     return out
@@ -172,8 +190,10 @@ def findings(spark: SparkSession, text: Column, n: int = FINDINGS, seed: int = 1
     """array<struct<value, start, score>> of the candidates that the forest takes for secrets."""
     trees = _trees(spark, n, seed)
     score = lambda c: sum((_votes(t, c) for t in trees), F.lit(0.0)) / len(trees)
-    scored = F.transform(candidates(text), lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), score(c).alias("score")))
-    return F.filter(scored, lambda c: c["score"] >= THRESHOLD)
+    pick = lambda cut: F.filter(F.transform(_read_cut(cut), lambda c: F.struct(c["value"].alias("value"), c["at"].alias("at"), score(c).alias("score"))), lambda c: c["score"] >= THRESHOLD)
+    # only for what was found does the place matter
+    placed = lambda cut: F.transform(pick(cut), lambda c: F.struct(c["value"].alias("value"), _start(cut, c["at"]).alias("start"), c["score"].alias("score")))
+    return let(_cut(text), lambda cut: F.when(cut.isNotNull(), placed(cut)))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -186,7 +206,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each secret of each document: doc_id, start, n_chars of the value, its sha256, a masked form, score."""
+    """A row for each secret of each document: doc_id, start, n_chars of the value, its sha256, a masked form, score.
+
+    Null and empty texts have none; rows that stand twice are reported twice; a null doc_id stays null.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", F.explode(findings(spark, F.col("text"))).alias("f"))
     value = F.col("f.value")

@@ -27,6 +27,8 @@ from colloquy.llm._shared import mix, powers, ready, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Longer words (text without spaces) are cut where no piece of the model spans before they are searched.
+LONG = 32
 #: Words whose ids a worker remembers.
 ROOM = 400_000
 
@@ -185,6 +187,19 @@ class Coder:
             out.append(tuple(reversed(ids)))
         return out
 
+    def uncrossed(self, word: str) -> list[str]:
+        """A long word cut at the places that no piece of the model spans in it: no segmentation crosses these, so the parts can be searched apart."""
+        sums, n = _matrix([word])[0], len(word)
+        step = np.zeros(n + 2, np.int64)
+        for k, (keys, _) in self.tables.items():
+            if 2 <= k <= n:
+                h = mix((sums[k:] - sums[:-k]) * powers(n + 1)[1][: n - k + 1])
+                at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h)
+                step[at + 1] += 1
+                step[at + k] -= 1
+        cuts = [0, *(np.flatnonzero(np.cumsum(step)[1:n] == 0) + 1).tolist(), n]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
     def unknown(self, c: str) -> tuple[int, ...]:
         return tuple(self.model.byte[b] for b in c.encode("utf-8", "replace")) if len(self.model.byte) == 256 else (self.model.unknown,)
 
@@ -197,12 +212,15 @@ class Coder:
             self.pairs = [_none(), _none()]
         known = self.known
         fresh: dict[int, list[str]] = {}
-        for w in {w for p in parts for w in p if w not in known}:
+        new = {w for p in parts for w in p if w not in known}
+        long = {w: self.uncrossed(w) for w in new if len(w) > LONG}
+        for w in {x for w in new for x in long.get(w, (w,)) if x not in known}:
             fresh.setdefault(len(w), []).append(w)
         for size, ws in fresh.items():
             step = max(1, (1 << 20) // (size + 1))
             for lo in range(0, len(ws), step):
                 known.update(zip(ws[lo : lo + step], self.search(ws[lo : lo + step])))
+        known.update((w, tuple(chain.from_iterable(map(known.__getitem__, cut)))) for w, cut in long.items())
         ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, p)), np.int32) for p in parts]
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int64)
 

@@ -216,7 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return empty
     place = F.pmod(F.xxhash64(F.lit("toxicity sample"), "labelled_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = labels.where(place < F.when(F.col("toxic") == 1, min(1.0, sample / size[1])).otherwise(min(1.0, sample / size[0])))
-    known = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("labelled_id")).select(F.col(text_col).alias("text"), "toxic")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))  # no other column of docs can clash
+    known = texts.join(F.broadcast(chosen), F.col("_id") == F.col("labelled_id")).select("text", "toxic")
     counts = known.mapInArrow(_evidence, "term string, toxic int, n long, twice long").groupBy("term").agg(*[F.sum(F.when(F.col("toxic") == y, F.col(c)).otherwise(0)).alias(f"{c}{y}") for c in ("n", "twice") for y in (0, 1)])
     n1, n0 = float(min(sample, size[1])), float(min(sample, size[0]))
     odds = lambda c: F.log((F.col(f"{c}1") + 0.5) / n1) - F.log((F.col(f"{c}0") + 0.5) / n0)
