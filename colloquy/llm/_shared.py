@@ -6,6 +6,7 @@ work of many documents at once and a worker's memory does not follow the size of
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -27,12 +28,17 @@ BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, and names a checkpoint folder where the cluster names none."""
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, paths) if p)
+    if spark.conf.get(_BATCH) == "10000":  # Spark's own value: 10,000 whole texts in each buffer on both sides of a pipe
+        spark.conf.set(_BATCH, "2000")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:  # one machine, as in tests; executors elsewhere could not read it
@@ -55,6 +61,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -179,6 +194,8 @@ def expand(blob: bytes, dtype=np.uint8) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31), dtype)
 
 
+#: Rows that are packed together.
+PACKED = 10_000
 BLOCK_SCHEMA = "block int, ids binary, lengths binary, texts binary"
 #: Stands for a null doc_id within a block; such rows sort last.
 NO_ID = np.iinfo(np.int64).max
@@ -197,8 +214,20 @@ def packed(docs: DataFrame, n_blocks: int, id_col: str = "doc_id", text_col: str
     shuffle: the texts cross the network at about a third of their size.
     """
 
-    def pack(batches):
+    def gathered(batches):
+        """Batches of PACKED rows or more, however small those that Spark sends are: a block's rows should travel together."""
+        held, n = [], 0
         for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def pack(batches):
+        for batch in gathered(batches):
             block = batch.column(2).to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
             rows = batch.take(pa.array(order))

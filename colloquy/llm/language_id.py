@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm._shared import grams, mix, prefix, ready
+from colloquy.llm._shared import grams, mix, prefix, ready, trim
 
 #: Labelled documents of each language that a model is fitted on, in expectation.
 SAMPLE = 1500
@@ -42,7 +42,7 @@ class LanguageModel:
 class Reader:
     """A model in use by one task, with the rows of words that it has met; these are forgotten beyond a bound."""
 
-    ROOM = 400_000
+    ROOM = 200_000
 
     def __init__(self, model: LanguageModel):
         self.model = model
@@ -185,6 +185,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         for batch in batches:
             out = [x for lo in range(0, batch.num_rows, 200) for x in own.predict(batch.column(at).slice(lo, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+        del own
+        trim()  # the worker goes on to other stages
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
