@@ -6,9 +6,11 @@ other random generators; sizes, coverage and repeatability are what counts.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SEED = 20260914
 
@@ -56,23 +58,23 @@ def stratified(
         short = short.withColumn("_used", F.lit(0))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in short.select(*parts, "_key").schema)
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        left, taken = total - int(group["_used"].fillna(0).iloc[0]), {}
-        pools = {i: g.sort_values(["_place", "_key"])["_key"].tolist() for i, g in group.groupby("_in")}
-        size = {i: int(g["_size"].iloc[0]) for i, g in group.groupby("_in")}
+    arrow = to_arrow_schema(T.StructType([*short.select(*parts, "_key").schema, T.StructField("stratum", T.StringType())]))
+
+    def pick(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: (r["_place"], r["_key"]))
+        left, taken = total - int(rows[0]["_used"] or 0), {}
+        size = {r["_in"]: r["_size"] for r in rows}
         turn = sorted(range(len(names)), key=lambda i: (size.get(i, 0), i)) if scarce_first else list(range(len(names)))
         for i in [*turn, len(names)]:
-            free = [k for k in pools.get(i, []) if k not in taken or (overlap and i < len(names))]
-            most = max(0, left - len(taken)) if i == len(names) else max(0, min(each, left - len(taken)))
+            last = i == len(names)
+            free = [r["_key"] for r in rows if r["_in"] == i and (r["_key"] not in taken or (overlap and not last))]
+            most = max(0, left - len(taken)) if last else max(0, min(each, left - len(taken)))
             for k in free[:most]:
-                taken.setdefault(k, names[i] if i < len(names) else "rest")
-        out = pd.DataFrame({"_key": list(taken), "stratum": list(taken.values())})
-        for p in parts:
-            out.insert(0, p, group[p].iloc[0])
-        return out[[*parts, "_key", "stratum"]]
+                taken.setdefault(k, "rest" if last else names[i])
+        return pa.Table.from_pylist([{p: rows[0][p] for p in parts} | {"_key": k, "stratum": v} for k, v in taken.items()], schema=arrow)
 
     keys = parts or ["_all"]
-    picked = short.withColumn("_all", F.lit(1)).groupBy(*keys).applyInPandas(pick, f"{types}, stratum string").select("_key", "stratum")
+    picked = short.withColumn("_all", F.lit(1)).groupBy(*keys).applyInArrow(pick, f"{types}, stratum string").select("_key", "stratum")
     if first is not None:
         picked = picked.union(first.select("_key", F.lit("cover")))
     return rows.join(picked, F.col(key) == F.col("_key")).select(*rows.columns, "stratum")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import QUESTION_MARKERS
 from colloquy.operators import audit, graph, roles
-from colloquy.plans.base import A, m_roled, query, roled
+from colloquy.plans.base import A, m_roled, query, roled, shared
 from colloquy.plans.stages import joined, micros
 
 #: Texts that ask, texts with a question mark in a URL only, and the rest; the same rule in SQL.
@@ -74,12 +74,14 @@ def chat(s, d) -> DataFrame:
     return m_roled(s, d).withColumn("text", F.when(F.col("message_type") == "message", F.expr(_ASKED)).otherwise(F.col("text")))
 
 
+@shared
 def _c(s, d):
     msgs = chat(s, d)
     found = graph.persisted(graph.ancestors(msgs))
     return msgs, found, graph.persisted(audit.pooled(msgs, found))
 
 
+@shared
 def _episodes(s, d):
     msgs, found, rows = _c(s, d)
     return msgs, rows, graph.persisted(audit.episodes(rows)), found

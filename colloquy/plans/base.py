@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.operators import roles
 from colloquy.sources import messages as src
 
+#: Whether queries of one session share the tables they have in common. Tests do; a query that is timed should not.
+SHARE = False
+_SHARED: dict = {}
+
+
+def shared(f: Callable) -> Callable:
+    """f(spark, sf_dir), remembered for each session and folder while SHARE is set."""
+
+    def made(spark: SparkSession, sf_dir: str):
+        if not SHARE:
+            return f(spark, sf_dir)
+        key = (f.__module__, f.__name__, spark.sparkContext.applicationId, sf_dir)
+        if key not in _SHARED:
+            _SHARED[key] = f(spark, sf_dir)
+        return _SHARED[key]
+
+    return made
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}

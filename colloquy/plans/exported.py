@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators import graph
-from colloquy.plans.base import M, m, query
+from colloquy.plans.base import M, m, query, shared
 from colloquy.sources import pages as html
 
 #: Which rows and pages have what; DuckDB and Spark read these alike.
@@ -73,6 +73,7 @@ good AS (SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, message_id,
 )
 
 
+@shared
 def _read(s, d):
     return html.messages(graph.persisted(html.parsed(export(s, d))))
 
@@ -102,6 +103,7 @@ query("lenient_rows", E + f"SELECT source_file, message_id, CASE WHEN service TH
 )
 
 
+@shared
 def _compared(s, d):
     raw = graph.persisted(html.lenient(export(s, d)))
     rows = graph.persisted(_read(s, d)[0])

@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import audit, checks, graph, reconstruct, roles, sampling, segmentation, singles
+from colloquy.operators import checks, graph, reconstruct, sampling, segmentation, singles
 from colloquy.plans import derived_sql as ds
-from colloquy.plans.base import A, M_ROLES, m, m_roled, query, roled
+from colloquy.plans.base import A, M_ROLES, m, m_roled, query, shared
 
 SEG, ONE = ds.segments(A), ds.singles(A)
 PLACED = ds.placed(A, "CASE sender WHEN 'u0' THEN 'AGENT' WHEN 'u3' THEN 'BOT' ELSE 'USER' END")
@@ -28,6 +28,7 @@ def micros(**names: str) -> dict[str, Column]:
 # Segmentation
 
 
+@shared
 def _segments(s: SparkSession, d: str):
     msgs = m(s, d)
     found = graph.persisted(graph.ancestors(msgs))
@@ -35,6 +36,7 @@ def _segments(s: SparkSession, d: str):
     return msgs, found, decided, segmentation.membership(msgs, found, decided)
 
 
+@shared
 def _talks(s: SparkSession, d: str):
     msgs, found, decided, members = _segments(s, d)
     members = graph.persisted(members)
@@ -174,6 +176,7 @@ query(
 # Conversations of one message
 
 
+@shared
 def _singles(s, d):
     msgs, found, _, members = _segments(s, d)
     return graph.persisted(singles.singles(msgs, found, members))
@@ -267,6 +270,7 @@ query(
 # Joining by role
 
 
+@shared
 def _placed(s, d):
     msgs = m_roled(s, d)
     found = graph.persisted(graph.ancestors(msgs))
@@ -275,7 +279,9 @@ def _placed(s, d):
     return msgs, found, graph.persisted(reconstruct.placed(msgs, members))
 
 
-def _rebuilt(s, d, minutes=30):
+@shared
+def _rebuilt(s, d):
+    minutes = 30
     msgs, found, rows = _placed(s, d)
     offers = graph.persisted(reconstruct.proposals(rows, minutes))
     decisions = graph.persisted(reconstruct.decided(offers, rows))
@@ -329,6 +335,7 @@ whole AS (SELECT risk30.*, sources.ids, coalesce(merges.why, []) AS why, coalesc
 )
 
 
+@shared
 def _whole(s, d):
     msgs, found, audited, again = _rebuilt(s, d)
     full = reconstruct.conversations(again, reconstruct.risks(again), audited, graph.direct_edges(graph.parents(msgs)))
@@ -352,6 +359,7 @@ trace AS (SELECT lone.*, source_count > 1 AS was_merged, message_count AS new_me
 )
 
 
+@shared
 def _trace(s, d):
     msgs, found, audited, again, full = _whole(s, d)
     near = segmentation.topic_neighbours(msgs, found)

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from colloquy.plans import registry
+from colloquy.plans import base, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,6 +26,13 @@ def duck(sf):
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def sharing():
+    base.SHARE = True
+    yield
+    base.SHARE = False
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_equals_sql(spark, duck, sf, name):
     df = entry.queries()[name](spark, sf)
