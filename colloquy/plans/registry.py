@@ -117,8 +117,23 @@ query(
     "question_markers",
     X + f"SELECT row_idx, array_to_string(list_filter({tx.QUESTION_MARKERS!r}, lambda q: contains({_BLANKED}, q)), ',') AS hits FROM xn",
 )(lambda s, d: faulted(s, d).where("message_type = 'message'").select("row_idx", F.array_join(tx.question_hits(F.col("text")), ",").alias("hits")))
-_TEMPLATE = r"""regexp_replace(regexp_replace(regexp_replace(text, '(https?://|www\.)[^\s<>]+', '[URL]', 'g'), '[a-z]+@example\.com', '[EMAIL]', 'g'), '10\.0\.0\.7', '[IP]', 'g')"""
-_TEMPLATE = f"trim(regexp_replace(regexp_replace({_TEMPLATE}, '[0-9]+', '[NUMBER]', 'g'), '\\s+', ' ', 'g'))"
+_MASKED = r"""regexp_replace(regexp_replace(regexp_replace(text, '(https?://|www\.)[^\s<>]+', '[URL]', 'g'), '[a-z]+@example\.com', '[EMAIL]', 'g'), '10\.0\.0\.7', '[IP]', 'g')"""
+#: What each profile makes of the planted texts that only some of them mask.
+_PLANTED = {"call +886 912 345 678 now": ("call [PHONE_CANDIDATE] now",) * 3 + ("call [PHONE_OR_ID] now",) * 2, "ask @handle_name or bob77 then": (None, None, None, "ask [HANDLE] or [IDENTIFIER] then", None), "帳號：abc_99 ok": (None, None, None, "帳號：[ACCOUNT] ok", "帳號：[ACCOUNT] ok")}
+_PROFILES = ("profile", "segmentation", "singles", "roles", "reconstruction")
+
+
+def _masked(profile: str) -> str:
+    """SQL of a faulted text as a profile masks it."""
+    some = [(t, m[_PROFILES.index(profile)]) for t, m in _PLANTED.items()]
+    cases = " ".join(f"WHEN text = '{t}' THEN '{v}'" for t, v in some if v)
+    return f"CASE {cases} WHEN text = 'my token: abcd1234efgh9999 is set' THEN 'my token: [REDACTED] is set' ELSE {_MASKED} END"
+
+
+for _p in _PROFILES:
+    query(f"redacted_text_{_p}", X + f"SELECT row_idx, {_masked(_p)} AS text FROM xn")(lambda s, d, p=_p: faulted(s, d).where("message_type = 'message'").select("row_idx", tx.redact(F.col("text"), p).alias("text")))
+    query(f"redacted_documents_{_p}")(lambda s, d, p=_p: documents(s, d).select("doc_id", tx.redact(F.col("text"), p).alias("text")))
+_TEMPLATE = f"trim(regexp_replace(regexp_replace({_masked('roles')}, '[0-9]+', '[NUMBER]', 'g'), '\\s+', ' ', 'g'))"
 query("templates", X + f"SELECT {_TEMPLATE} AS template, count(*) AS n FROM xn GROUP BY 1")(
     lambda s, d: faulted(s, d).where("message_type = 'message'").groupBy(tx.template(F.col("text")).alias("template")).agg(F.count("*").alias("n"))
 )
@@ -135,16 +150,16 @@ SELECT count(*) AS message_count, count(DISTINCT text) AS distinct_exact_texts,
 query("sender_hours", X + "SELECT hour(ts + to_seconds(offset_s)) AS hour, count(*) AS n FROM xn WHERE sender = 'u1' GROUP BY 1")(lambda s, d: roles.hours(faulted(s, d), "u1"))
 query(
     "sender_top_texts",
-    X + "SELECT text AS value, count(*) AS n, min(row_idx) AS first_row FROM xn WHERE sender = 'u1' AND row_idx % 20 NOT IN (7, 13, 15, 17) GROUP BY 1 ORDER BY n DESC, first_row LIMIT 8",
-)(lambda s, d: roles.top_values(faulted(s, d).where("row_idx % 20 not in (7, 13, 15, 17)"), "u1", "text", 8))
+    X + "SELECT text AS value, count(*) AS n, min(row_idx) AS first_row FROM xn WHERE sender = 'u1' AND row_idx % 20 NOT IN (1, 2, 6, 7, 8, 13, 15, 17) GROUP BY 1 ORDER BY n DESC, first_row LIMIT 8",
+)(lambda s, d: roles.top_values(faulted(s, d).where("row_idx % 20 not in (1, 2, 6, 7, 8, 13, 15, 17)"), "u1", "text", 8))
 query("sender_top_templates", X + f"SELECT {_TEMPLATE} AS value, count(*) AS n, min(row_idx) AS first_row FROM xn WHERE sender = 'u1' GROUP BY 1 ORDER BY n DESC, first_row LIMIT 8")(
     lambda s, d: roles.top_values(faulted(s, d), "u1", "template", 8)
 )
 query(
     "message_pii_counts",
     X + r"""SELECT count(*) FILTER (regexp_matches(text, '(https?://|www\.)')) AS url, count(*) FILTER (contains(text, '@example.com')) AS email,
-  0 AS phone_candidate, count(*) FILTER (contains(text, '10.0.0.7')) AS ip_candidate, 0 AS credential_candidate,
-  count(*) FILTER (regexp_matches(text, '(https?://|www\.)') OR contains(text, '@example.com')) AS url_email_or_phone FROM xn""",
+  count(*) FILTER (contains(text, '+886')) AS phone_candidate, count(*) FILTER (contains(text, '10.0.0.7')) AS ip_candidate, count(*) FILTER (contains(text, 'token:')) AS credential_candidate,
+  count(*) FILTER (regexp_matches(text, '(https?://|www\.)') OR contains(text, '@example.com') OR contains(text, '+886')) AS url_email_or_phone FROM xn""",
 )(lambda s, d: profile.pii_counts(faulted(s, d).where("message_type = 'message'")))
 query("aba_triples", M + ", o AS (SELECT sender, ts, lag(sender) OVER w AS s1, lag(sender, 2) OVER w AS s2, lag(ts, 2) OVER w AS t2 FROM n WINDOW w AS (ORDER BY row_idx)) SELECT count(*) FILTER (s2 = sender AND s1 <> sender AND epoch_us(ts) - epoch_us(t2) <= 600000000) AS aba_triples FROM o")(
     lambda s, d: profile.aba_triples(m(s, d))

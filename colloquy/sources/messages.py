@@ -122,6 +122,7 @@ def conversation_roles(messages: DataFrame) -> DataFrame:
 
 #: Texts that rows of messages_with_faults have instead of their own, by row_idx % 20 (Spark and DuckDB read them alike).
 FAULT_TEXTS = {
+    1: "'my token: abcd1234efgh9999 is set'", 2: "'call +886 912 345 678 now'", 6: "'ask @handle_name or bob77 then'", 8: "'帳號：abc_99 ok'",
     3: "''", 4: "''", 5: "'   '", 7: "concat(text, ' https://example.org/a?b=1 請問')", 9: "concat('✅ ', text)", 11: "concat('  ⚠ ', text, chr(10), 'state: done')",
     13: "concat('Order ', cast(row_idx as varchar(9)), ' is late?')", 15: "'ask ann@example.com or 10.0.0.7'", 17: "'see www.example.org/x? now'", 18: "concat('步驟：', text)", 19: "concat(text, '？')",
 }
