@@ -62,14 +62,23 @@ def release(spark: SparkSession) -> None:
 
 
 def trim() -> None:
-    """Gives memory that a Python worker no longer uses back to the system, where the C library can."""
-    gc.collect()
+    """Gives memory that a Python worker has freed back to the system, where the C library can: workers go on to other stages."""
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
 
+def trimmed(run):
+    """run, a function of batches, that trims the worker's memory at its end."""
+
+    def out(batches):
+        yield from run(batches)
+        trim()
+
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

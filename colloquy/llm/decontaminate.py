@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, grams, pieces, prefix, ready, table
+from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, grams, pieces, prefix, ready, table, trimmed
 
 #: Edits for each byte of an item up to which a window counts as a copy.
 RATE = 0.15
@@ -350,7 +350,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     ids = batch.column(0)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([i + f[0] for f in found], pa.int64())), pa.array([own.ids[f[1]] for f in found], pa.int64()), *[pa.array([f[k] for f in found], pa.int64()) for k in (2, 3)], pa.array([f[4] for f in found], pa.int32())], ["doc_id", "item_id", "start_byte", "end_byte", "distance"])
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(trimmed(run), schema)
 
     for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull()).toLocalIterator():
         block.append((r[0], r[1]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, by_key, checkpoint, components, expand, grams, mix, pieces, prefix, ready, release, spans, squeeze, table, words
+from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, by_key, checkpoint, components, expand, grams, mix, pieces, prefix, ready, release, spans, squeeze, table, trimmed, words
 from colloquy.llm.repeats import SENT, answers, distinct, sends, told
 
 WORDS, PERCENT = 5, 75
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, registers binary")
+    return docs.select(F.col(id_col).cast("long"), text, F.xxhash64(text)).mapInArrow(trimmed(run), "doc_id long, mark long, n_shingles long, digest binary, registers binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def bands(classes: DataFrame) -> DataFrame:
                 keys = mix(np.ascontiguousarray(regs).view(np.uint32)[:, :, 0].astype(np.uint64) + salt)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(some.column(0).to_numpy(), BANDS))], ["key", "rep"])
 
-    return classes.select("rep", "registers").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "registers").mapInArrow(trimmed(run), "key long, rep long")
 
 
 def estimate(n_a: Column, n_b: Column, a: list[Column], b: list[Column]) -> Column:
@@ -153,7 +153,7 @@ def texts_of(reps: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([squeeze(data[off[k] : off[k + 1]]) for k in range(i, j)], pa.binary())], ["rep", "digest", "z"])
 
     texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    found = texts.mapInArrow(small, "rep long, digest binary, z binary").join(asked, ["rep", "digest"], "left_semi")
+    found = texts.mapInArrow(trimmed(small), "rep long, digest binary, z binary").join(asked, ["rep", "digest"], "left_semi")
     return checkpoint(found.dropDuplicates(["rep"]).select("rep", "z"))
 
 
@@ -178,7 +178,7 @@ def confirm(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
     a = found.select(F.col("rep").alias("a"), F.col("z").alias("za"))
     b = found.select(F.col("rep").alias("b"), F.col("z").alias("zb"))
-    return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long"))
+    return checkpoint(pairs.join(a, "a").join(b, "b").select("a", "b", "za", "zb").mapInArrow(trimmed(run), "a long, b long"))
 
 
 def lone_shingles(found: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def near_pairs(rest: DataFrame, found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols, np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64), np.repeat(size, many))], ["centre", "rep", "t", "s"])
 
     held = rest.join(found, "rep").join(usual_sets(rest, found), "centre").select("centre", "rep", "z", "usual", "n")
-    apart = checkpoint(held.mapInArrow(differences, "centre long, rep long, t long, s int"))
+    apart = checkpoint(held.mapInArrow(trimmed(differences), "centre long, rep long, t long, s int"))
     counts = apart.groupBy("centre", "t").agg(F.count("*").alias("f")).where("f > 1")
     # what one member alone has comes first in its order, and joins nothing: s and the number of the others say how many that are
     shared = apart.join(counts, ["centre", "t"])

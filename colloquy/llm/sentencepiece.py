@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm._shared import mix, powers, ready, table
+from colloquy.llm._shared import mix, powers, ready, table, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -291,7 +291,7 @@ def tokenize(docs: DataFrame, model: Pieces, text_col: str = "text") -> DataFram
                 back = [None if t is None else coder.decode(ids[a:b].tolist()) == t for t, a, b in zip(texts, bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([*some.columns, lists, pa.array(back, pa.bool_())], [*batch.schema.names, "ids", "round_trip"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
 
 
 def detokenize(rows: DataFrame, model: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
