@@ -38,12 +38,15 @@ WALK, SIZES = 80, (40, 80)
 STEPS, AGREE = {n: 3 * n // 2 for n in SIZES}, {40: 0.6, 80: 0.5}
 #: Walks, and tables for each walk and size.
 WALKS, TABLES = 2, 16
-#: Windows at once, and slots for each key, which are asked before a table is searched.
-CHUNK, SLOTS_EACH = 1 << 12, 16
+#: Windows at once, and slots for each key, which are asked before a table is searched: a slot has a few more bits of its key, or SEVERAL.
+CHUNK, SLOTS_EACH, SEVERAL = 1 << 14, 16, 255
 #: Steps on which unrelated windows agree, and chance candidates of a window in all tables: they set how many steps a key has.
 BY_CHANCE, CHANCE = 0.14, 0.02
 _RNG = np.random.default_rng(20250607)
 _GO_ON = _RNG.integers(0, 2, (WALKS, STEPS[SIZES[-1]], 256)).astype(np.int64)
+#: For each byte: itself, and above it whether to go on at each of so many steps.
+_AHEAD = 55
+_WORDS = np.stack([[np.arange(256) + sum(_GO_ON[w, lo + j] << (8 + j) for j in range(min(_AHEAD, STEPS[SIZES[-1]] - lo))) for lo in range(0, STEPS[SIZES[-1]], _AHEAD)] for w in range(WALKS)])
 _ORDER = np.stack([_RNG.permutation(STEPS[n])[: STEPS[SIZES[0]]] for _ in range(WALKS * TABLES) for n in SIZES]).reshape(WALKS, TABLES, len(SIZES), -1)
 #: Items that are broadcast at once; a longer benchmark is read in blocks of so many.
 ITEMS = 20_000
@@ -104,30 +107,34 @@ def copies(item: bytes, text: bytes, limit: int, lo: int, hi: int) -> Iterator[t
 
 
 def begins(text: np.ndarray) -> np.ndarray:
-    """Where windows begin: at words, at signs of three or more bytes (scripts without spaces), and within runs without a
-    space; of all these at about every second, which the bytes there choose, so that a text and its copy choose alike."""
+    """Where windows begin: at every word, at every sign of three or more bytes (scripts without spaces), and at every
+    byte from the 25th on of a run without a space."""
     edge = np.diff(np.r_[False, text != 32, False].astype(np.int8))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long = np.flatnonzero(last - first > 24)
-    plain = np.zeros(len(text), bool)
-    plain[first] = True
-    plain[text >= 0xE0] = True
-    every = plain.copy()
+    every = text >= 0xE0
+    every[first] = True
     for a, z in zip(first[long].tolist(), last[long].tolist()):
         every[a + 24 : z] = True
-    at = np.flatnonzero(every)
-    pair = text[at].astype(np.int64) * 31 + np.r_[text, np.uint8(32)][at + 1]
-    return at[(pair * 0x9E37 >> 7 & 1).astype(bool) & (plain[at] | (pair % 4 == 0))]
+    return np.flatnonzero(every)
 
 
 def walked(text: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-    """[walk, step, window]: the bytes that the walks read; text must go on for steps bytes after the last start."""
+    """[walk, step, window]: the bytes that the walks read; starts rise, and text must go on for steps bytes after the last one."""
     out = np.empty((WALKS, steps, len(starts)), np.uint8)
+    if not len(starts):
+        return out
+    text, word, go = text[starts[0] : starts[-1] + steps].astype(np.int64), np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
     for w in range(WALKS):
-        at = starts.astype(np.int64)
-        for k in range(steps):
-            np.take(text, at, out=out[w, k], mode="clip")
-            at += np.take(_GO_ON[w, k], out[w, k])
+        at = (starts - starts[0]).astype(np.int64)
+        for lo in range(0, steps, _AHEAD):
+            words = _WORDS[w, lo // _AHEAD].take(text, mode="clip")
+            for j in range(min(_AHEAD, steps - lo)):
+                np.take(words, at, out=word, mode="clip")
+                out[w, lo + j] = word  # its lowest byte
+                np.right_shift(word, 8 + j, out=go)
+                np.bitwise_and(go, 1, out=go)
+                np.add(at, go, out=at)
     return out
 
 
@@ -153,26 +160,40 @@ class Windows:
             sampled = np.sort(_ORDER[:, :, k, : max(8, length)], axis=2)
             tables, bits = [], max(16, (SLOTS_EACH * len(item)).bit_length())
             for w in range(WALKS):
+                key = self.keys(read[w], sampled[w])
+                slots = np.zeros(TABLES << bits, np.uint8)
                 for t in range(TABLES):
-                    key = self.keys(read[w], sampled[w, t])
-                    order = np.argsort(key, kind="stable")
-                    slots = np.zeros(1 << bits, bool)
-                    slots[key >> U(64 - bits)] = True
-                    tables.append((w, sampled[w, t], U(64 - bits), slots, key[order], order))
-            self.classes.append((STEPS[n], AGREE[n], item, offset, read, tables))
+                    at, tag = (key[t] >> U(64 - bits)).astype(np.int64) + (t << bits), self.tags(key[t], bits)
+                    slots[at] = tag
+                    slots[at[slots[at] != tag]] = SEVERAL
+                key = self.in_table(key, np.arange(TABLES)[:, None]).ravel()
+                order = np.argsort(key, kind="stable")
+                tables.append((sampled[w], bits, slots, key[order], order % len(item)))
+            self.classes.append((STEPS[n], AGREE[n] * STEPS[n], item, offset, read, tables))
 
     @staticmethod
     def keys(read: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-        """One value for the bytes that each window shows at the sampled steps, eight at least; its top bits are mixed."""
-        packed = np.empty((read.shape[1], 8), np.uint8)
-        for i, k in enumerate(sampled[:8]):
-            packed[:, i] = read[k]
-        key = packed.view(np.uint64)[:, 0] * U(0x9E3779B97F4A7C15)
-        for k in sampled[8:]:
-            key ^= read[k]
+        """[table, window]: one value for the bytes that each window shows at a table's sampled steps, eight at least; its top bits are mixed."""
+        packed = np.empty((len(sampled), read.shape[1], 8), np.uint8)
+        for t, steps in enumerate(sampled[:, :8].tolist()):
+            for i, k in enumerate(steps):
+                packed[t, :, i] = read[k]
+        key = packed.view(np.uint64)[:, :, 0] * U(0x9E3779B97F4A7C15)
+        for k in range(8, sampled.shape[1]):
+            key ^= read[sampled[:, k]]
             key *= U(0xBF58476D1CE4E5B9)
         return key
 
+    @staticmethod
+    def tags(key: np.ndarray, bits: int) -> np.ndarray:
+        """What a slot says of a key: the bits after those that number the slot; neither 0, which is none, nor SEVERAL."""
+        return ((key >> U(56 - bits) & U(255)) % U(SEVERAL - 1) + U(1)).astype(np.uint8)
+
+    @staticmethod
+    def in_table(key: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Keys in an order of tables; those that differ in their lowest bits only come as one, which can only add candidates."""
+        return key >> U(TABLES.bit_length()) | table.astype(np.uint64) << U(64 - TABLES.bit_length())
+
     def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item, place of its first byte, as far as one can say): windows of text that a table joins to an item's."""
         starts = begins(text)
@@ -182,20 +203,24 @@ class Windows:
             read = walked(padded, at, self.steps)
             for steps, least, item, offset, known, tables in self.classes:
                 pairs = []
-                for w, sampled, shift, slots, keys, order in tables:
+                for w, (sampled, bits, slots, keys, order) in enumerate(tables):
                     key = self.keys(read[w], sampled)
-                    some = np.flatnonzero(slots.take((key >> shift).view(np.int64)))
-                    first, last = np.searchsorted(keys, key[some], "left"), np.searchsorted(keys, key[some], "right")
+                    slot = (key >> U(64 - bits)).view(np.int64)
+                    slot += (np.arange(TABLES) << bits)[:, None]
+                    tag = slots.take(slot.ravel(), mode="wrap")
+                    some = np.flatnonzero(tag != 0)
+                    key, tag = key.ravel()[some], tag[some]
+                    same = (tag == SEVERAL) | (tag == self.tags(key, bits))
+                    table, here = np.divmod(some[same], len(at))
+                    key = self.in_table(key[same], table)
+                    first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     many = last - first
-                    if many.any():
-                        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        pairs.append(np.repeat(some, many) << 32 | order[np.repeat(first, many) + nth])
-                if not pairs:
-                    continue
+                    nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    pairs.append(np.repeat(here, many) << 32 | order[np.repeat(first, many) + nth])
                 pairs = np.unique(np.concatenate(pairs))
                 for a in range(0, len(pairs), 1 << 12):
                     here, there = pairs[a : a + (1 << 12)] >> 32, pairs[a : a + (1 << 12)] & 0xFFFFFFFF
-                    agree = (read[:, :steps, here] == known[:, :, there]).mean(axis=1).max(axis=0) >= least
+                    agree = (read[:, :steps].take(here, axis=2) == known.take(there, axis=2)).sum(axis=1, dtype=np.uint8).max(axis=0) >= least
                     yield from zip(item[there[agree]].tolist(), (at[here[agree]] - offset[there[agree]]).tolist())
 
 
@@ -300,7 +325,6 @@ class Items:
         # a space before and after each row
         text = np.insert(text, np.r_[off[:-1], off[1:]], 32) if len(off) > 1 else text
         pad = np.arange(len(off) - 1)
-        at = np.insert(at, np.r_[off[:-1], off[1:]], 0) if len(off) > 1 else at
         begins, ends = off[:-1] + 2 * pad, off[1:] + 2 * pad + 2
         whole = text.tobytes()
         found, lo, n = [], 0, len(text)
@@ -324,7 +348,8 @@ class Items:
                     start += whole[start] == 32
                     end -= whole[end - 1] == 32
                     if end > start:
-                        yield row, i, int(at[start] - offsets[row]), int(at[end - 1] + 1 - offsets[row]), distance
+                        first, last = (int(at[x - 2 * row - 1] - offsets[row]) for x in (start, end - 1))
+                        yield row, i, first, last + 1, distance
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -464,6 +464,22 @@ def test_decontamination_reaches_its_recall_against_edit_distance():
             assert near > 40 and found >= 0.9 * near, (spread, rate, found, near)
 
 
+def test_every_word_begins_a_window():
+    r = random.Random(6)
+    some = [w for w in (a + b + c for a in "abcdehilmnoprst" for b in "aeiou" for c in ("ng", "rest", "lla", "n")) if not (ord(w[0]) * 31 + ord(w[1])) * 0x9E37 >> 7 & 1]
+    items = [(i, " ".join(r.choice(some) for _ in range(40))[:n].strip()) for i, n in enumerate([90, 150, 240])]
+    for i, t in items:
+        text = np.frombuffer(t.encode(), np.uint8)
+        assert set(decontaminate.begins(text).tolist()) == {m.start() for m in re.finditer(r"\S+", t)}
+    own = decontaminate.Items(items)
+    raw = [f"{prose(r, 30)} {t} {prose(r, 30)}".encode() for _, t in items]
+    found = list(own.find(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])]))
+    assert [(row, item, distance) for row, item, _, _, distance in sorted(found)] == [(i, i, 0) for i in range(3)]
+    assert all(raw[row][start:end].decode() == items[item][1] for row, item, start, end, _ in found)
+    run = np.frombuffer(("x" * 30 + "abcdefghij" * 5).encode(), np.uint8)
+    assert decontaminate.begins(run).tolist() == [0, *range(24, len(run))]
+
+
 def test_rows_that_share_an_id_are_decontaminated_apart(spark):
     r = random.Random(5)
     item = prose(r, 40)
