@@ -198,23 +198,35 @@ def _place(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
+def placed(pages: DataFrame) -> DataFrame:
+    """row, host, path, lines (hashes of the visible lines) of every page."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SPAN):
+                some = batch.slice(lo, SPAN)
+                out = []
+                for url, html in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    lines = np.array([xxhash.xxh64_intdigest(t) for _, t in blocks(html)], np.uint64)
+                    out.append((*_place(url), lines.tobytes()))
+                made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([some.column(2), *made], ["row", "host", "path", "lines"])
+
+    return pages.select("url", "html", "row").mapInArrow(run, "row long, host string, path string, lines binary")
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, row, host, path, lines (hashes of the visible lines), z (the blocks, compressed): each page is parsed once."""
+    """page_id, url, row, z (the blocks, compressed) of every page."""
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, SPAN):
                 some = batch.slice(lo, SPAN)
-                out = []
-                for url, html in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
-                    found = blocks(html)
-                    lines = np.array([xxhash.xxh64_intdigest(t) for _, t in found], np.uint64)
-                    out.append((*_place(url), lines.tobytes(), squeeze("\x00".join(f"{zone}{t}" for zone, t in found).encode("utf-8", "replace"))))
-                made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.binary(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), *made], ["page_id", "url", "row", "host", "path", "lines", "z"])
+                z = [squeeze("\x00".join(f"{zone}{t}" for zone, t in blocks(html)).encode("utf-8", "replace")) for html in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(3), pa.array(z, pa.binary())], ["page_id", "url", "row", "z"])
 
-    return pages.select("page_id", "url", "html", "row").mapInArrow(run, f"page_id {kind}, url string, row long, host string, path string, lines binary, z binary")
+    return pages.select("page_id", "url", "html", "row").mapInArrow(run, f"page_id {kind}, url string, row long, z binary")
 
 
 def neighbours(places: DataFrame) -> DataFrame:
@@ -245,15 +257,17 @@ def extract(pages: DataFrame) -> DataFrame:
     Null or empty html has an empty text. A page alone on its host, or without a URL, loses no line by
     differencing. If all lines of a page are shared, the page is a copy: it keeps them.
     Rows that agree in everything get the same result; extra columns are ignored.
+
+    Pages are parsed twice, for the hashes of their lines and for their texts: texts that were kept on disk
+    between the two would take more of it than parsing takes time.
     """
     ready(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("row"))
-    read = checkpoint(parsed(pages))
     kind = dict(pages.dtypes)["page_id"]
-    places = read.select("row", "host", "path", "lines").dropDuplicates(["row"])
+    places = checkpoint(placed(pages)).dropDuplicates(["row"])
     beside = checkpoint(neighbours(places))
     asked = beside.join(places.where(F.length("lines") > 0).select("row"), "row", "left_semi").where(F.size("other") > 0)
-    read = read.select("page_id", "url", "row", "z").join(asked, "row", "left")
+    read = parsed(pages).join(asked, "row", "left")
 
     def run(batches):
         for batch in batches:

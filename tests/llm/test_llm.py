@@ -464,6 +464,15 @@ def test_decontamination_reaches_its_recall_against_edit_distance():
             assert near > 40 and found >= 0.9 * near, (spread, rate, found, near)
 
 
+def test_texts_of_pages_are_not_kept_on_disk(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(html_text, "checkpoint", lambda df: kept.append(set(df.columns)) or df.checkpoint())
+    rows = [(i, f"http://a.example/{i}", f"<p>menu</p><p>story {i}</p>") for i in range(3)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((x["page_id"], x["text"]) for x in got) == [(i, f"story {i}") for i in range(3)]
+    assert kept and not any({"html", "z"} & columns for columns in kept)
+
+
 def test_every_word_begins_a_window():
     r = random.Random(6)
     some = [w for w in (a + b + c for a in "abcdehilmnoprst" for b in "aeiou" for c in ("ng", "rest", "lla", "n")) if not (ord(w[0]) * 31 + ord(w[1])) * 0x9E37 >> 7 & 1]
