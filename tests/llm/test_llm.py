@@ -529,3 +529,20 @@ def test_columns_that_clash(spark):
     pages = spark.createDataFrame([(1, "http://a.b/x", "<main><p>one</main>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumns({n: F.lit("x") for n in names})
     got = sorted((x["page_id"], x["text"], x["n_chars"]) for x in html_text.extract(pages).collect())
     assert got == [(1, "one", 3), (2, "", 0), (2, "", 0)] and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_frequent_words_outlive_a_full_memory(monkeypatch):
+    import sentencepiece as sp
+
+    monkeypatch.setattr(sentencepiece, "ROOM", 40)
+    library, coder = sp.SentencePieceProcessor(model_file=sentencepiece.MODEL), sentencepiece.Coder(sentencepiece.Pieces())
+    searched, search = [], coder.search
+    monkeypatch.setattr(coder, "search", lambda words: searched.extend(words) or search(words))
+    for i in range(6):
+        texts = [f"often and often again {'x' * k}{i}y{k}\n \U0001f9ff {chr(0x4E00 + 40 * i + k)} naïve" for k in range(30)] + ["", None, " ", "漢字" * 50]
+        ids, at = coder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [library.encode(t) if t else [] for t in texts]
+        assert coder.round_trips(texts, ids, at) == [None if t is None else True for t in texts]
+        assert len(coder.known) <= 200
+    assert searched.count("▁often") == 1
+    assert coder.round_trips(["a▁b"], *coder.encode(["a▁b"])) == [False]
