@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from colloquy.llm._shared import U, grams, ranges_of, sliding
+from colloquy.llm._shared import U, grams, make_room, ranges_of, sliding
 
 SENT = "part int, block int, hashes binary, flags binary"
 ANSWER = "block int, step int, part int, bits binary"
@@ -29,9 +29,8 @@ def seeds(sums: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> tuple
     g = grams(sums, gram)
     g[g == 0] = U(1)
     low = sliding(g, width, np.minimum)
-    starts = np.arange(len(low))
-    end = bounds[np.searchsorted(bounds, starts, "right")] if len(low) else starts
-    low = np.where(starts + window <= end, low, U(0))
+    late = (bounds[1:, None] - np.arange(1, window)).ravel()  # begin in a document, or in one before it, and end after it
+    low[late[(late >= 0) & (late < len(low))]] = U(0)
     room = np.zeros(n + width, np.uint64)
     room[width - 1 : width - 1 + len(low)] = low
     most = sliding(room, width, np.maximum)[: len(g)]
@@ -65,6 +64,7 @@ def answers(sent: DataFrame, step: int) -> DataFrame:
     """Rows of ANSWER: for each array sent, which of its hashes occur twice or more in all."""
 
     def run(rows: pa.Table) -> pa.Table:
+        make_room()
         blocks, parts = rows["block"].to_pylist(), rows["part"].to_pylist()
         arrays = [np.frombuffer(b, np.uint64) for b in rows["hashes"].to_pylist()]
         flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(a)) for f, a in zip(rows["flags"].to_pylist(), arrays)]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm._shared import U, mix, powers, prefix, ready, table, trimmed
+from colloquy.llm._shared import CACHES, U, mix, powers, prefix, ready, table, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -317,7 +317,7 @@ def _hash(sums: np.ndarray, start: int, end: int) -> np.ndarray:
     return mix((sums[:, end] - sums[:, start]) * powers(sums.shape[1])[1][start])
 
 
-_CODERS: dict[bytes, Coder] = {}
+_CODERS: dict[bytes, Coder] = CACHES.setdefault("sentencepiece", {})
 
 
 def _coder(shared) -> Coder:
@@ -355,7 +355,7 @@ def tokenize(docs: DataFrame, model: Pieces, text_col: str = "text") -> DataFram
                 back = coder.round_trips(texts, ids, bounds)
                 yield pa.RecordBatch.from_arrays([*some.columns, lists, pa.array(back, pa.bool_())], [*batch.schema.names, "ids", "round_trip"])
 
-    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
+    return docs.mapInArrow(trimmed(run, keep="sentencepiece"), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]))
 
 
 def detokenize(rows: DataFrame, model: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import BYTE_VALUES, NO_ID, U, by_key, blocks_for, checkpoint, expand, packed, pieces, prefix, ranges_of, ready, release, spans, squeeze, table, unpacked
-from colloquy.llm.repeats import ANSWER, SENT, answers, covered, distinct, member, seeds, sends, told
+from colloquy.llm._shared import BYTE_VALUES, NO_ID, U, by_key, blocks_for, checkpoint, expand, make_room, packed, pieces, prefix, ranges_of, ready, release, spans, squeeze, table, unpacked
+from colloquy.llm.repeats import ANSWER, SENT, answers, distinct, member, seeds, sends, told
 
 WINDOW, GRAM = 50, 20
 #: Bytes of text in a block, of text for each range of hashes, and of fragments in one transform.
 BLOCK, PART, INDEX = 3 << 19, 4 << 20, 1 << 19
+#: Windows of fragments of equal contents that are decided at once.
+COPIES = 1 << 18
 _FRAGMENTS = "part int, block int, seeds binary, ids binary, sizes binary, texts binary"
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, stop: long>>, kept binary"
 
@@ -91,6 +93,7 @@ class _Block:
     """The bytes and seeds of a block's documents."""
 
     def __init__(self, rows: pa.Table, window: int, gram: int):
+        make_room()  # the block before is gone
         self.ids, self.data, self.off = unpacked(rows)
         self.window, self.width = window, window - gram + 1
         self.sums = prefix(BYTE_VALUES[self.data])
@@ -176,10 +179,11 @@ def _decide(seed: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarr
         # each fragment of these contents compares by its own id
         entry = ask[a:b][which]
         lo, hi = np.searchsorted(kinds, entry, "left"), np.searchsorted(kinds, entry, "right")
-        many = hi - lo
-        frag = by_kind[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        hit = np.repeat(least, many) < ids[frag]
-        np.bitwise_or.at(out, frag[hit], np.repeat(bit, many)[hit])
+        for x, y in pieces(np.r_[0, np.cumsum(hi - lo)], COPIES):
+            many = hi[x:y] - lo[x:y]
+            frag = by_kind[np.repeat(lo[x:y], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            hit = np.repeat(least[x:y], many) < ids[frag]
+            np.bitwise_or.at(out, frag[hit], np.repeat(bit[x:y], many)[hit])
     return out
 
 
@@ -216,6 +220,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["part", "block", "seeds", "ids", "sizes", "texts"])
 
     def decide(rows: pa.Table) -> pa.Table:
+        make_room()
         seed = [np.frombuffer(x, np.uint64) for x in rows["seeds"].to_pylist()]
         ids = [expand(x, np.int64) for x in rows["ids"].to_pylist()]
         sizes = [np.frombuffer(x, np.int32).astype(np.int64) for x in rows["sizes"].to_pylist()]
@@ -231,6 +236,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(rows, window, gram)
         start, end, owner, seed, entry, entries = b.fragments(replies, parts)
+        b.low = b.sums = None
         masks, cut = np.zeros(len(entries), np.uint64), ranges_of(seed[entries], parts)
         for s, k, z in zip(replies["step"].to_pylist(), replies["part"].to_pylist(), replies["bits"].to_pylist()):
             if s == 1:
@@ -238,10 +244,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         n_windows = end - start - window + 1
         mask = masks[entry] if len(entry) else masks
         smaller = b.ids[owner[entries[entry]]] < b.ids[owner] if len(entry) else np.zeros(0, bool)  # an earlier document of this block has it
-        frag = np.repeat(np.arange(len(start)), n_windows)
-        nth = np.arange(len(frag)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        gone = smaller[frag] | ((mask[frag] >> nth.astype(np.uint64)) & U(1)).astype(bool)
-        removed = covered((start[frag] + nth)[gone], window, len(b.data))
+        step = np.zeros(len(b.data) + 1, np.int32)
+        for x, y in pieces(np.r_[0, np.cumsum(n_windows)], COPIES):
+            many = n_windows[x:y]
+            frag = np.repeat(np.arange(x, y), many)
+            nth = np.arange(len(frag)) - np.repeat(np.cumsum(many) - many, many)
+            gone = smaller[frag] | ((mask[frag] >> nth.astype(np.uint64)) & U(1)).astype(bool)
+            at = (start[frag] + nth)[gone]
+            np.add.at(step, at, 1)
+            np.add.at(step, at + window, -1)
+        removed = np.cumsum(step[:-1], dtype=np.int32) > 0
         out = []
         for i, (lo, hi) in enumerate(zip(b.off[:-1], b.off[1:])):
             own = removed[lo:hi]

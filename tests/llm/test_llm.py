@@ -546,3 +546,32 @@ def test_frequent_words_outlive_a_full_memory(monkeypatch):
         assert len(coder.known) <= 200
     assert searched.count("▁often") == 1
     assert coder.round_trips(["a▁b"], *coder.encode(["a▁b"])) == [False]
+
+
+def test_memory_for_many_copies_of_similar_fragments():
+    import tracemalloc
+
+    rng, n = np.random.default_rng(5), 60_000
+    kinds = np.tile(rng.integers(97, 123, 70).astype(np.uint8), (4, 1))
+    kinds[np.arange(4), 65 + np.arange(4)] = 48
+    which, ids = rng.integers(0, 4, n), rng.permutation(n).astype(np.int64)
+    tracemalloc.start()
+    got = suffix_dedup._decide(np.full(n, 7, np.uint64), ids, np.full(n, 70, np.int64), kinds[which].ravel(), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    least = {}
+    for k in range(4):
+        for p in range(21):
+            w = kinds[k][p : p + 50].tobytes()
+            least[w] = min(least.get(w, n), int(ids[which == k].min()))
+    for i in range(0, n, 997):
+        assert int(got[i]) == sum((least[kinds[which[i]][p : p + 50].tobytes()] < ids[i]) << p for p in range(21))
+
+
+def test_operators_drop_what_others_hold():
+    from colloquy.llm import _shared
+
+    sentencepiece._CODERS[b"x"] = None
+    assert list(_shared.trimmed(lambda batches: batches, keep="sentencepiece")([1])) == [1] and b"x" in sentencepiece._CODERS
+    assert list(_shared.trimmed(lambda batches: batches)([1])) == [1] and not sentencepiece._CODERS
