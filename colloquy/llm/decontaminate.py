@@ -45,8 +45,8 @@ BY_CHANCE, CHANCE = 0.14, 0.02
 _RNG = np.random.default_rng(20250607)
 _GO_ON = _RNG.integers(0, 2, (WALKS, STEPS[SIZES[-1]], 256)).astype(np.int64)
 #: For each byte: itself, and above it whether to go on at each of so many steps.
-_AHEAD = 55
-_WORDS = np.stack([[np.arange(256) + sum(_GO_ON[w, lo + j] << (8 + j) for j in range(min(_AHEAD, STEPS[SIZES[-1]] - lo))) for lo in range(0, STEPS[SIZES[-1]], _AHEAD)] for w in range(WALKS)])
+_AHEAD = 23
+_WORDS = np.stack([[np.arange(256) + sum(_GO_ON[w, lo + j] << (8 + j) for j in range(min(_AHEAD, STEPS[SIZES[-1]] - lo))) for lo in range(0, STEPS[SIZES[-1]], _AHEAD)] for w in range(WALKS)]).astype(np.int32)
 _ORDER = np.stack([_RNG.permutation(STEPS[n])[: STEPS[SIZES[0]]] for _ in range(WALKS * TABLES) for n in SIZES]).reshape(WALKS, TABLES, len(SIZES), -1)
 #: Items that are broadcast at once; a longer benchmark is read in blocks of so many.
 ITEMS = 20_000
@@ -124,7 +124,7 @@ def walked(text: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
     out = np.empty((WALKS, steps, len(starts)), np.uint8)
     if not len(starts):
         return out
-    text, word, go = text[starts[0] : starts[-1] + steps].astype(np.int64), np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+    text, word, go = text[starts[0] : starts[-1] + steps].astype(np.int64), np.empty(len(starts), np.int32), np.empty(len(starts), np.int32)
     for w in range(WALKS):
         at = (starts - starts[0]).astype(np.int64)
         for lo in range(0, steps, _AHEAD):
@@ -240,6 +240,8 @@ class Items:
         # so many bytes of text at once that seeds make a bounded number of hits
         self.stretch = max(1 << 12, STRETCH * 40_000 // max(total, 40_000))
         self.lap = max((2 * len(f) + 4 for f in self.forms if len(f) < WALK), default=0)
+        self.own_grams: dict[int, np.ndarray] = {}
+        self.marks = np.zeros(SLOTS, bool)
         self.seeds = []
         for q in sorted(SEEDS, reverse=True):
             own = np.array([i for i, s in enumerate(self.forms) if 0 < len(s) < WALK and self.gram(i) == q], np.int64)
@@ -269,6 +271,16 @@ class Items:
         """A slot for each gram; grams that share a slot can only add windows."""
         return (grams(prefix(BYTE_VALUES[text]), q) >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
+    def may_hold(self, i: int, text: np.ndarray) -> bool:
+        """Whether text has so many grams of an item that is sampled that a copy is possible (the q-gram lemma): false where none is."""
+        if i not in self.own_grams:
+            self.own_grams[i] = self.slots(np.frombuffer(self.forms[i], np.uint8), SEEDS[0])
+        there = self.slots(text, SEEDS[0])
+        self.marks[there] = True
+        kept = np.count_nonzero(self.marks[self.own_grams[i]])
+        self.marks[there] = False
+        return kept >= self.least(i, SEEDS[0])
+
     def windows(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, start, end): parts of text that keep enough grams of an item at offsets that limit edits allow.
 
@@ -343,6 +355,8 @@ class Items:
             else:
                 merged.append([i, a, b])
         for i, a, b in merged:
+            if len(self.forms[i]) >= WALK and not self.may_hold(i, text[a:b]):
+                continue
             for row in range(int(np.searchsorted(begins, a, "right")) - 1, int(np.searchsorted(begins, b - 1, "right"))):
                 for start, end, distance in copies(self.forms[i], whole, int(self.limit[i]), max(a, int(begins[row])), min(b, int(ends[row]))):
                     start += whole[start] == 32

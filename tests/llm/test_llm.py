@@ -575,3 +575,15 @@ def test_operators_drop_what_others_hold():
     sentencepiece._CODERS[b"x"] = None
     assert list(_shared.trimmed(lambda batches: batches, keep="sentencepiece")([1])) == [1] and b"x" in sentencepiece._CODERS
     assert list(_shared.trimmed(lambda batches: batches)([1])) == [1] and not sentencepiece._CODERS
+
+
+def test_gram_filter_keeps_all_within_the_rate():
+    rng = np.random.default_rng(3)
+    items = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in (80, 131, 240)]
+    own = decontaminate.Items(list(enumerate(items)))
+    for i, item in enumerate(items):
+        step = len(item) / own.limit[i]
+        gone = {int(k * step) for k in range(own.limit[i])}  # edits as far from each other as they can be
+        assert own.may_hold(i, np.frombuffer("".join(c for k, c in enumerate(item) if k not in gone).encode(), np.uint8))
+        assert own.may_hold(i, np.frombuffer("".join("#" if k in gone else c for k, c in enumerate(item)).encode(), np.uint8))
+        assert not own.may_hold(i, rng.integers(97, 123, 300).astype(np.uint8)) and not own.marks.any()
