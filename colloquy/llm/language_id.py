@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm._shared import grams, mix, prefix, ready, trim
+from colloquy.llm._shared import grams, mix, prefix, ready, trim, trimmed
 
 #: Labelled documents of each language that a model is fitted on, in expectation.
 SAMPLE = 1500
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         trim()  # the worker goes on to other stages
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def remainder(id_col: str, of: int) -> Column:

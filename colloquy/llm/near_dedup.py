@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, by_key, checkpoint, components, expand, grams, mix, pieces, prefix, ready, release, spans, squeeze, table, trimmed, words
+from colloquy.llm._shared import BYTE_VALUES, LOWER, U, buffers, by_key, checkpoint, components, expand, grams, make_room, mix, pieces, prefix, ready, release, spans, squeeze, table, trimmed, words
 from colloquy.llm.repeats import SENT, answers, distinct, sends, told
 
 WORDS, PERCENT = 5, 75
@@ -191,6 +191,7 @@ def lone_shingles(found: DataFrame) -> DataFrame:
     rows = found.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int"))
 
     def pooled(t: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        make_room()
         sets = _sets(t.sort_by("rep")["z"])
         owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         return sets, *distinct(np.concatenate(sets), owners)
@@ -228,6 +229,7 @@ def usual_sets(rest: DataFrame, found: DataFrame) -> DataFrame:
     some = rest.select("centre", "rep").withColumn("_rank", rank).where(F.col("_rank") <= TYPICAL).drop("_rank").join(found, "rep")
 
     def usual(key: tuple, t: pa.Table) -> pa.Table:
+        make_room()
         sets = _sets(t["z"])
         values, many = np.unique(np.concatenate(sets), return_counts=True)
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([squeeze(values[2 * many > len(sets)])], pa.binary())], ["centre", "usual"])
